@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import mixing, topk_search
+from lexigrid.llm import mixing, secrets, topk_search
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op6_topk_search": topk_search.op6_topk_search,
     "op9_mixing": mixing.op9_mixing,
 }

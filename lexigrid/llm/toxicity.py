@@ -14,7 +14,8 @@ from lexigrid.llm.common import table
 SIZES = (3, 4, 5, 6, 8)
 BITS = 20
 #: Bounds of what is learnt from: labelled rows of each class, and features of the model.
-MAX_PER_CLASS, MAX_FEATURES = 4000, 16384
+MAX_PER_CLASS, MAX_FEATURES = 4000, 8192
+PARTS = 6
 
 
 def gram_cells(text: str | None) -> list[np.ndarray]:
@@ -52,9 +53,9 @@ def _present(select: np.ndarray, width: int, text: str | None) -> np.ndarray:
 
 def _fit(features: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on features scaled by ratio, by Adam on the whole sample; deterministic."""
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    col = np.concatenate(features) if features else np.zeros(0, np.int64)
-    x = ratio[col]
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    col = np.concatenate(features) if features else np.zeros(0, np.int32)
+    x = ratio[col].astype(np.float32)
     w, b, m, v = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
@@ -83,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
         return none
     picked = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS))
     ids = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, y int")  # 2 * MAX_PER_CLASS rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").repartition(PARTS, F.xxhash64("text"))
     parts = sample.mapInArrow(_counts, "cell binary, n binary, neg long, pos long").collect()
     df = np.zeros((2, 1 << BITS), np.int64)
     for r in parts:
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     got = sorted((r["f"], r["y"]) for r in sample.mapInArrow(rows, "f binary, y int").collect())
     y = np.array([r[1] for r in got], float)
     weight = np.where(y == 1, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
-    w, b = _fit([np.frombuffer(r[0], np.int32).astype(np.int64) for r in got], y, weight, ratio)
+    w, b = _fit([np.frombuffer(r[0], np.int32) for r in got], y, weight, ratio)
     return select, w * ratio, b
 
 

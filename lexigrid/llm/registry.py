@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import mixing, packing, secrets, topk_search, toxicity
+from lexigrid.llm import mixing, packing, pii, secrets, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
+    "op4_pii": pii.op4_pii,
     "op6_topk_search": topk_search.op6_topk_search,
     "op9_mixing": mixing.op9_mixing,
 }

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import table
 
 SIZES = (3, 4, 5, 6, 8)
-BITS = 20
+BITS = 19
 #: Bounds of what is learnt from: labelled rows of each class, and features of the model.
-MAX_PER_CLASS, MAX_FEATURES = 4000, 8192
+MAX_PER_CLASS, MAX_FEATURES = 3000, 4096
 PARTS = 6
 
 

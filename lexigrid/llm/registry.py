@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import mixing, packing, pii, secrets, topk_search, toxicity
+from lexigrid.llm import jaccard_join, mixing, packing, pii, secrets, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_pii": pii.op4_pii,
     "op6_topk_search": topk_search.op6_topk_search,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
 }
-SQL = {"op6_topk_search": topk_search.OP6_SQL}
+SQL = {"op6_topk_search": topk_search.OP6_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import jaccard_join, mixing, packing, pii, secrets, topk_search, toxicity
+from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, secrets, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_topk_search": topk_search.op6_topk_search,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
-SQL = {"op6_topk_search": topk_search.OP6_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL}
+SQL = {"op6_topk_search": topk_search.OP6_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op10_embedding_dedup": embedding_dedup.OP10_SQL}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, secrets, topk_search, toxicity
+from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, secrets, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_pii": pii.op4_pii,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_topk_search": topk_search.op6_topk_search,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_mixing": mixing.op9_mixing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, secrets, suffix_dedup, topk_search, toxicity
+from lexigrid.llm import embedding_dedup, jaccard_join, language_model, mixing, packing, pii, secrets, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_topk_search": topk_search.op6_topk_search,
+    "op7_language_model": language_model.op7_language_model,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -44,6 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column `name` that tells rows apart and ascends with doc_id: doc_id itself, where it does so.
+
+    Only if doc_ids repeat or are null are rows numbered: a sort of (doc_id, digest of the text) in one task.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0:
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    order = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    return written(docs.withColumn(name, F.row_number().over(order).cast("long")), "numbered")
+
+
 def words(text: str | None) -> list[bytes]:
     """`[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case, as UTF-8: bytes.split() parts at exactly these characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

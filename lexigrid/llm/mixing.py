@@ -48,7 +48,7 @@ def targets(sources: DataFrame, weights: list[float], ceiling: float) -> DataFra
 
 
 def mix(docs: DataFrame, weights: list[float], ceiling: float = 3.0, seed: str = "mix") -> DataFrame:
-    """docs with columns doc_id, text, source -> doc_id, source, size, source_size, target, taken.
+    """docs with columns doc_id, text, source -> doc_id, source, size, source_size, target, taken, and its two parts: epochs (whole copies) and part (words of one more).
 
     Each source gives its target of words: as many complete epochs of all its documents as fit, then a sample without
     replacement by Efraimidis-Spirakis keys -ln(u) / quality in ascending order, until the budget is spent; the document
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: list[float], ceiling: float = 3.0, seed: str =
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "also").rowsBetween(Window.unboundedPreceding, -1)
     on_edge = rows.where(edge).withColumn("reached", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     on_edge = on_edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("reached"))).cast("long")).drop("reached")
-    return flat.unionByName(on_edge).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return flat.unionByName(on_edge).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

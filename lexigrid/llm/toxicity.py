@@ -115,8 +115,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
     """docs' columns `keep`, score (0 to 1) and predicted (1 from 0.5 on). An empty or null text gets the bias alone."""
     select, weights, bias = model
     width = len(weights)
-    kept = docs.select(*keep, F.col("text").alias("__text") if "text" not in keep else F.col("text"))
     name = "text" if "text" in keep else "__text"
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(name))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import ROLLER, table, written
+from lexigrid.llm.common import ROLLER, mixed, table, written
 
 #: Bytes of an anchor; bytes of text that a transform gets on average; distinct segments of an anchor from which they are dealt by window.
 ANCHOR, BUCKET, HOT = 24, 1 << 19, 20_000
@@ -137,31 +137,36 @@ def _anchors(length: int):
                     seg = ROLLER.slices(data, lo, lo + n + length - 1)
                     out.append((h.view(np.int64), seg.view(np.int64), np.full(len(h), ord_), lo.astype(np.int32), n.astype(np.int32)))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "seg", "ord", "lo", "n"])
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                o = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+                cols = [c[o] for c in cols]
+                again = np.concatenate([[False], (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])])
+                # what repeats within the batch is known to be late here: dealt by its place, it crowds no anchor's task
+                place = mixed(cols[2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cols[3].astype(np.uint64)).view(np.int64)
+                cols[0] = np.where(again, place, cols[0])
+                yield pa.record_batch([*map(pa.array, cols), pa.array(again)], names=["h", "seg", "ord", "lo", "n", "again"])
 
     return rows
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order (h, seg, ord, lo), those whose h has another row; first: no row of its h and seg before it."""
-    names = ["h", "seg", "ord", "lo", "n"]
-    last, had = None, False  # the last row, and whether the one before it has its h
-    same_seg = False
+    """Of rows in the order (h, seg, ord, lo), those whose h has another row, and those with again; first: no row of its h and seg before it, nor again."""
+    names, kinds = ["h", "seg", "ord", "lo", "n", "again"], (np.int64, np.int64, np.int64, np.int32, np.int32, bool)
+    last, had, later_last = [np.zeros(0, k) for k in kinds], False, False  # the last row, and whether it has its h, and seg, from the row before
+
+    def given(cols: list[np.ndarray], keep: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([*(pa.array(c[keep]) for c in cols[:5]), pa.array(~(later | cols[5])[keep])], names=[*names[:5], "first"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(batch.column(k)) for k in names]
-        if last is not None:
-            cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(last, cols, strict=True)]
-        h, seg = cols[0], cols[1]
-        link = h[1:] == h[:-1]
-        before, after = np.concatenate([[had], link]), link
-        later = np.concatenate([[same_seg], link & (seg[1:] == seg[:-1])])
-        keep = before[:-1] | after
-        yield pa.record_batch([*(pa.array(c[:-1][keep]) for c in cols), pa.array(~later[:-1][keep])], names=[*names, "first"])
-        last, had, same_seg = [c[-1] for c in cols], bool(before[-1]), bool(later[-1])
-    if last is not None and had:
-        yield pa.record_batch([*(pa.array([x]) for x in last), pa.array([not same_seg])], schema=pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("ord", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("first", pa.bool_())]))
+        cols = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for x, k in zip(last, names, strict=True)]
+        link = cols[0][1:] == cols[0][:-1]
+        before = np.concatenate([[had], link])
+        later = np.concatenate([[later_last], link & (cols[1][1:] == cols[1][:-1])])
+        yield given([c[:-1] for c in cols], before[:-1] | link | cols[5][:-1], later[:-1])
+        last, had, later_last = [c[-1:] for c in cols], bool(before[-1]), bool(later[-1])
+    yield given(last, np.full(len(last[0]), had) | last[5], np.full(len(last[0]), later_last))
 
 
 def _segments(length: int, buckets: int):
@@ -253,7 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = rows.select("ord", "text").where(f"octet_length(text) >= {length}")
     texts = texts.dropDuplicates(["ord"]) if repeated else texts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = texts.mapInArrow(_anchors(length), "h long, seg long, ord long, lo int, n int").repartition(parts, "h").sortWithinPartitions("h", "seg", "ord", "lo")
+    anchors = texts.mapInArrow(_anchors(length), "h long, seg long, ord long, lo int, n int, again boolean").repartition(parts, "h").sortWithinPartitions("h", "seg", "ord", "lo")
     met = written(anchors.mapInArrow(_repeated, "h long, seg long, ord long, lo int, n int, first boolean"), "repeats-anchors")
     heads = met.where("first").groupBy("h").agg(F.count("*").alias("segs")).where("segs > 1")
     clash = written(met.where("first").join(heads, "h").select("h", "ord", "lo", "n", (F.col("segs") > HOT).alias("hot")), "repeats-clashes")

@@ -322,8 +322,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     for r in parts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # FREQUENT rows at most
         counts[r["key"]] = r["n"]
     nodes = parts.where("kind = 0").select(F.col("key").alias("node"), "n", "blob")
-    width = nodes.count()
-    nodes = nodes.select((F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("node"), "n", "blob") if width > 1 else nodes
+    width = (nodes.agg(F.max("node")).first()[0] or 0) + 1  # a node is a task's number
     while width > 1:
         nodes = nodes.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("node").applyInArrow(_mean, "node long, n long, blob binary")
         width = -(-width // FAN_IN)

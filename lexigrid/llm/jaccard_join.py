@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import components, shingle_set, table, written
 
-#: The share of the hash range in which a shingle's document count is looked up.
-LOW_SHARE = 0.22
-LOW = int(LOW_SHARE * 2.0**64)
+#: The share of the hash range in which a shingle's nodes are counted, as a multiple of the share of shingles that a prefix has.
+LOW_SHARE = 1.6
 #: Sets a tree holds at most; larger clusters are dealt to blocks, and every two blocks that sizes allow meet in a task.
 BLOCK = 1500
 #: Ids up to which a semi-join's right side is broadcast.
@@ -117,8 +116,12 @@ def _node(s: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
+def _low(num: int, den: int) -> int:
+    return int(min(0.49, LOW_SHARE * (1 - num / den)) * 2.0**64)
+
+
 def _prefix_rows(n_words: int, num: int, den: int):
-    low = np.uint64(LOW)
+    low = np.uint64(_low(num, den))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +195,7 @@ def join_components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     documents each; a component is named by the smallest doc_id in it (null only if all are). Exact, in these steps:
     1. Rows of one set are one node.
     2. In the order "low shingles of one node only, then by hash", linked sets share one of the first n - ceil(n * num / den) + 1
-       shingles. Low are the hashes in the lowest LOW_SHARE of the range, the only ones whose nodes are counted. A node whose
+       shingles. Low are the hashes in the lowest part of the range (see LOW_SHARE), the only ones whose nodes are counted. A node whose
        prefix holds shingles of its own alone links with nothing and goes no further.
     3. Nodes that share a prefix shingle form clusters; only they are read again. Each cluster's sets meet in signature
        trees, in blocks of some BLOCK sets, cut by size: two blocks whose sizes are too far apart don't meet.
@@ -205,7 +208,7 @@ def join_components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     shared = tokens.mapInArrow(_shared, "h long, node long").groupBy("node").agg(F.collect_list("h").alias("h"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("n_low").alias("n_low"))
     shared = shared.join(nodes, "node").select("node", "need", "n_low", F.array_sort("h").alias("h"))
-    low = F.filter("h", lambda h: (h >= 0) & (h < LOW))
+    low = F.filter("h", lambda h: (h >= 0) & (h < _low(num, den)))
     by_hash = F.concat(F.filter("h", lambda h: h >= 0), F.filter("h", lambda h: h < 0))  # as unsigned numbers
     rest = F.greatest(F.lit(0), F.col("need") - (F.col("n_low") - F.size(low)))
     prefix = written(shared.select("node", F.explode(F.slice(by_hash, F.lit(1), rest)).alias("h")), "jaccard-prefix")

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lexigrid.plans import table_queries, text_queries
+
+QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES}
+SQL: dict = {**text_queries.SQL, **table_queries.SQL}

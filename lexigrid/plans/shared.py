@@ -1,0 +1,24 @@
+"""Tables in the folder that driver and executors share, to cut a long lineage."""
+
+from __future__ import annotations
+
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+_OWN: dict[str, str] = {}
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table under spark.checkpoint.dir, or in plain local mode, where it is unset, a temporary folder."""
+    spark = df.sparkSession
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='lexigrid-')}")
+    path = f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

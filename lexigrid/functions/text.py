@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.functions.stem import porter
 
@@ -44,7 +45,7 @@ class Analyzer:
         return out.where(F.col("term").isin(only)) if only is not None and self.stemmer else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def porter_udf(terms: pd.Series) -> pd.Series:
     return terms.map(porter)
 

@@ -18,8 +18,9 @@ def not_numeric(df: DataFrame, *columns: str) -> DataFrame:
     return df.where(bad)
 
 
-def duplicates(df: DataFrame, *key: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+def duplicates(df: DataFrame, *key: str, count: str = "n") -> DataFrame:
+    rows = df.groupBy(*key).agg(F.count("*").alias(count))
+    return rows.where(rows[count] > 1)
 
 
 def outside(df: DataFrame, column: str, domain: list) -> DataFrame:

@@ -41,7 +41,7 @@ def verse_csv(spark: SparkSession, path: str, first_new: int = 40) -> DataFrame:
 
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, text) of pieces between blank lines, of one file; empty pieces are dropped after numbering."""
-    pieces = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n\n")).alias("ordinal", "text"))
+    pieces = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n\n")).alias("ordinal", "text"))
     return pieces.where("text <> ''")
 
 
@@ -58,7 +58,7 @@ def run_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """(line_no, line) of one file, from line `skip` on, numbered from 0 at the file's start."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"), F.col("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"), F.col("value"))
     return rows.where((F.col("line_no") >= skip) & ~((F.col("line") == "") & (F.col("line_no") == F.size(F.split("value", "\r?\n")) - 1))).select("line_no", "line")
 
 

@@ -43,13 +43,13 @@ def _bound_ok(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, num: int, den: i
     # a set of x and one of y elements link only if min * den >= num * max
     ok = (np.minimum(high_a, high_b) * den >= num * np.maximum(low_a, low_b)) & (high_a > 0) & (high_b > 0)
     # each bit set in one leaf but in no set below the other node stands for an element outside the overlap
-    for x, y, n_low, n_high, other_high, p, q in ((a, b, low_a, high_a, high_b, i, j), (b, a, low_b, high_b, high_a, j, i)):
+    for x, y, n_low, n_high, other_low, other_high, p, q in ((a, b, low_a, high_a, low_b, high_b, i, j), (b, a, low_b, high_b, low_a, high_a, j, i)):
         leaf = n_low == n_high
         if leaf.any():
             lone = np.bitwise_count(x[0][p[leaf]] & ~y[0][q[leaf]]).sum(axis=1, dtype=np.int64) if x[3] is not None else np.zeros(leaf.sum(), np.int64)
             most = np.minimum(n_high[leaf] - lone, other_high[leaf])
             # overlap / (n + m - overlap) is largest at the smallest m, which the overlap itself bounds from below
-            m = np.maximum(most, (low_b if x is a else low_a)[leaf])
+            m = np.maximum(most, other_low[leaf])
             ok[leaf] &= most * (den + num) >= num * (n_high[leaf] + m)
     return ok
 

@@ -14,7 +14,7 @@ from lexigrid.llm.common import table
 SIZES = (3, 4, 5, 6, 8)
 BITS = 19
 #: Bounds of what is learnt from: labelled rows of each class, and features of the model.
-MAX_PER_CLASS, MAX_FEATURES = 3000, 4096
+MAX_PER_CLASS, MAX_FEATURES = 3000, 2048
 PARTS = 6
 
 
@@ -44,24 +44,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _present(select: np.ndarray, width: int, text: str | None) -> np.ndarray:
-    """The model's features that occur in the text."""
+    """Which of the model's features occur in the text."""
     mark = np.zeros(width + 1, bool)
     for cells in gram_cells(text):
         mark[select[cells]] = True
-    return np.flatnonzero(mark[:width])
+    return mark[:width]
 
 
-def _fit(features: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on features scaled by ratio, by Adam on the whole sample; deterministic."""
-    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
-    col = np.concatenate(features) if features else np.zeros(0, np.int32)
-    x = ratio[col].astype(np.float32)
-    w, b, m, v = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on the whole sample; deterministic. x holds MAX_PER_CLASS * 2 rows of MAX_FEATURES numbers at most."""
+    n, k = x.shape
+    w, b, m, v = np.zeros(k), 0.0, np.zeros(k + 1), np.zeros(k + 1)
     weight = weight / weight.sum()
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[col], len(features)) + b, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, w.astype(np.float32)) + b, -50, 50)))
         e = weight * (p - y)
-        g = np.append(np.bincount(col, x * e[row], len(ratio)) + l2 * w / len(features), e.sum())
+        g = np.append(np.einsum("ij,i->j", x, e.astype(np.float32)) + l2 * w / n, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -102,12 +100,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"f": pa.array([_present(select, width, t).astype(np.int32).tobytes() for t in batch["text"].to_pylist()], pa.binary()), "y": batch["y"]})
+            yield pa.record_batch({"f": pa.array([np.packbits(_present(select, width, t)).tobytes() for t in batch["text"].to_pylist()], pa.binary()), "y": batch["y"]})
 
     got = sorted((r["f"], r["y"]) for r in sample.mapInArrow(rows, "f binary, y int").collect())
     y = np.array([r[1] for r in got], float)
     weight = np.where(y == 1, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
-    w, b = _fit([np.frombuffer(r[0], np.int32) for r in got], y, weight, ratio)
+    x = np.unpackbits(np.frombuffer(b"".join(r[0] for r in got), np.uint8).reshape(len(got), -1), axis=1, count=width) * ratio.astype(np.float32)
+    w, b = _fit(x, y, weight)
     return select, w * ratio, b
 
 

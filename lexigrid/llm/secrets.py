@@ -25,8 +25,8 @@ ASSIGN_LEAST = 6
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {"hex": DIGITS + LOWER[:6], "HEX": DIGITS + UPPER[:6], "base32": UPPER + DIGITS[2:8], "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
-#: Under the null of written text: the coincidence rate of letters, and the share of neighbours of different character classes.
-TEXT_COINCIDENCE, TEXT_CHANGES = 0.066, 0.18
+#: Under the null of written text: the coincidence rate of letters, and the share of neighbours of different character classes, where letters are of one case and of both.
+TEXT_COINCIDENCE, TEXT_CHANGES = 0.066, (0.18, 0.30)
 #: A token that fails a randomness test at this level is no secret; the false-discovery rate that each length class keeps to.
 REJECT, FDR = 1e-4, 0.01
 #: Lower ends of the length classes; cells of -log10(p) per unit, and cells.
@@ -81,7 +81,8 @@ def battery(token: str) -> tuple[float, float] | None:
     p_flat = max(1e-30, _tail((mean - chi) / sd)) if excess else 1.0
     kind = np.array([0 if ch in DIGITS else 1 if ch in LOWER else 2 if ch in UPPER else 3 for ch in token])
     t = int((kind[1:] != kind[:-1]).sum())
-    p_change = sum(math.comb(n - 1, i) * TEXT_CHANGES**i * (1 - TEXT_CHANGES) ** (n - 1 - i) for i in range(t, n)) if n < 400 else _tail((t - (n - 1) * TEXT_CHANGES) / math.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES)))
+    c = TEXT_CHANGES[1 in kind and 2 in kind]
+    p_change = sum(math.comb(n - 1, i) * c**i * (1 - c) ** (n - 1 - i) for i in range(t, n)) if n < 400 else _tail((t - (n - 1) * c) / math.sqrt((n - 1) * c * (1 - c)))
     y = -math.log(p_flat) - math.log(max(1e-60, p_change))
     return if_random, min(1.0, math.exp(-y) * (1 + y))  # Fisher: chi-squared with 4 degrees of freedom
 

@@ -88,3 +88,22 @@ def mix(docs: DataFrame, weights: list[float], ceiling: float = 3.0, seed: str =
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, weights 5, 2, 1 in turn, targets up to 3 times a source's size."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), [5, 2, 1]).drop("source")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370497.0::DOUBLE)
+    / coalesce(1.0::DOUBLE - 0.9::DOUBLE * length(regexp_replace(text, '[\p{L}\s]+', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0.1::DOUBLE) AS key FROM documents
+), s AS (SELECT source, sum(size)::DOUBLE AS n FROM d GROUP BY source),
+w AS (SELECT source, n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS w FROM s),
+f AS (SELECT *, row_number() OVER (ORDER BY 3 * n / w, source) AS i FROM w),
+g AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum(3 * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM f),
+t AS (SELECT source, n, least(3 * n, (SELECT arg_min(level, i) FROM g WHERE level <= 3 * n / w) * w) AS target FROM g),
+p AS (SELECT *, CAST(floor(target / nullif(n, 0)) AS BIGINT) AS epochs, CAST(round(target - floor(target / nullif(n, 0)) * n) AS BIGINT) AS budget FROM t),
+r AS (SELECT d.*, p.n, p.target, p.epochs, p.budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source),
+o AS (SELECT *, CAST(greatest(0, least(size, budget - before)) AS BIGINT) AS part FROM r)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, epochs * size + part AS taken, epochs, part FROM o
+"""

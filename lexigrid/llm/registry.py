@@ -16,4 +16,10 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
-SQL = {"op6_topk_search": topk_search.OP6_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op10_embedding_dedup": embedding_dedup.OP10_SQL}
+SQL = {
+    "op5_suffix_dedup": suffix_dedup.OP5_SQL,
+    "op6_topk_search": topk_search.OP6_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+    "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+}

@@ -278,3 +278,18 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, strings of 100 bytes."""
     return remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
+OP5_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, CAST(2 * s + 1 AS BIGINT), 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM b)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+cut AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM late),
+run AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM cut) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a, z FROM run),
+sums AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k, max(z) AS last FROM run GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(b.h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (a - f) AS BIGINT)), '' ORDER BY a) AS h FROM gap g JOIN b ON b.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT b.doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.k, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN s.doc_id IS NULL THEN b.h ELSE k.h || substr(b.h, CAST(2 * s.last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM b LEFT JOIN sums s ON s.doc_id = b.doc_id LEFT JOIN kept k ON k.doc_id = b.doc_id
+"""

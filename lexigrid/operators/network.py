@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,23 +54,37 @@ def prefix_rollup(packets: DataFrame, share: float = 0.05) -> DataFrame:
     """(net, plen, bytes): every prefix that keeps `share` of all bytes after its heavier sub-prefixes took theirs, and what is left at the root.
 
     Bottom-up over prefix lengths 32 .. 0, so that the order of packets doesn't matter: at each length a prefix with enough bytes is
-    given out, the others go on to the next shorter one. Sources are summed first; a step's rows are the prefixes left.
+    given out, the others go on to the next shorter one. Eight lengths at a time are settled within a group that holds one row for
+    each of 256 sub-prefixes at most; sources are summed before.
     """
-    own = packets.groupBy(F.col("src_ip").alias("net")).agg(F.sum("bytes").alias("bytes"))
-    total = packets.agg(F.sum("bytes").alias("total"))
-    rows = own.crossJoin(F.broadcast(total))
+    rows = written(packets.groupBy(F.col("src_ip").alias("net")).agg(F.sum("bytes").alias("bytes")), "rollup")
+    least = share * (rows.agg(F.sum("bytes")).first()[0] or 0)
     out = None
-    for plen in range(32, -1, -1):
-        size = 1 << (32 - plen)
-        rows = rows.select((F.floor(F.col("net") / size) * size).cast("long").alias("net"), "bytes", "total").groupBy("net", "total").agg(F.sum("bytes").alias("bytes")) if plen < 32 else rows
-        heavy = rows.where((F.col("bytes") >= share * F.col("total")) | F.lit(plen == 0)).where("bytes > 0").select("net", F.lit(plen).alias("plen"), "bytes")
-        out = heavy if out is None else out.unionByName(heavy)
-        rows = rows.where(F.col("bytes") < share * F.col("total"))
-        if plen % 8 == 0 and plen:
-            rows = written(rows, "rollup")
+    for top in (24, 16, 8, 0):
+        stage = rows.groupBy(F.shiftright("net", 32 - top).alias("key")).applyInPandas(_settle(top, least), "net long, plen int, bytes long, given boolean")
+        stage = written(stage, "rollup")
+        given = stage.where("given").select("net", "plen", "bytes")
+        out = given if out is None else out.unionByName(given)
+        rows = stage.where("not given").select("net", "bytes")
     return out
 
 
+def _settle(top: int, least: float):
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        left, out = dict(zip(rows["net"].tolist(), rows["bytes"].tolist(), strict=True)), []
+        for plen in range(top + 8, top, -1):
+            out += [(net, plen, n, True) for net, n in left.items() if n >= least and n > 0]
+            size, wider = 1 << (33 - plen), {}
+            for net, n in left.items():
+                if n < least or n <= 0:
+                    wider[net // size * size] = wider.get(net // size * size, 0) + n
+            left = wider
+        out += [(net, top, n, top == 0) for net, n in left.items() if n > 0]
+        return pd.DataFrame(out, columns=["net", "plen", "bytes", "given"])
+
+    return settle
+
+
 def allowed(packets: DataFrame) -> DataFrame:
     """packets (seq, outbound, ...) with allowed: outbound TCP, and inbound TCP of a flow that sent outbound before; all that is no TCP over IPv4."""
     mine = Window.partitionBy(*ENDS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import table, written
 
 SEQUENCE, GRAIN, END_ID = 4096, 64, 2
-#: Pre-tokens kept per worker process for good, and beyond these for a while.
-CACHE, RECENT = 400_000, 100_000
+#: Pre-tokens kept per worker process for good, and beyond these at a time.
+CACHE, RECENT = 300_000, 50_000
 #: Texts with other characters, with separators on which libraries differ, or with a special token's opening, go to the library whole.
 _UNSURE = re.compile("[\x1c-\x1f\x85İƀ-\U0010ffff]|<\\|")
 _LETTER, _NUMBER = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
@@ -26,13 +26,32 @@ _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETT
 _STATE: dict = {}
 
 
+class PreTokens(dict):
+    """From a pre-token to its ids in bytes. The first CACHE pre-tokens stay; later ones go again, RECENT at a time."""
+
+    def __init__(self, tok) -> None:
+        super().__init__()
+        self.tok, self.recent = tok, []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) > CACHE:
+            self.recent.append(piece)
+            if len(self.recent) > RECENT:
+                for p in self.recent:
+                    del self[p]
+                self.recent.clear()
+        return ids
+
+
 def tokenizer(path: str) -> tuple:
-    """The library's tokenizer, what is kept of its results, and the keys kept for a while only."""
+    """The library's tokenizer, and its results by pre-token."""
     if path not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE[path] = (Tokenizer.from_file(path), {}, [])
+        tok = Tokenizer.from_file(path)
+        _STATE[path] = (tok, PreTokens(tok))
     return _STATE[path]
 
 
@@ -42,23 +61,15 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     Byte-pair merges never cross a pre-token, so that the ids of each distinct pre-token come from the library once and from a
     cache then; texts for which that isn't sure go to the library whole.
     """
-    tok, cache, recent = tokenizer(path)
-    as_bytes = lambda e: np.array(e.ids, "<u4").tobytes()
+    tok, cache = tokenizer(path)
     end, out = np.array([END_ID], "<u4").tobytes(), []
-    split = [None if not t or _UNSURE.search(t) else _PIECE.findall(t.lower()) for t in texts]
-    if len(recent) > RECENT:
-        for p in recent:
-            del cache[p]
-        recent.clear()
-    if new := list({p for pieces in split if pieces for p in pieces} - cache.keys()):
-        if len(cache) >= CACHE:
-            recent += new
-        cache.update(zip(new, map(as_bytes, tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    for text, pieces in zip(texts, split, strict=True):
-        if pieces is not None:
-            out.append(b"".join(map(cache.__getitem__, pieces)) + end)
+    for text in texts:
+        if not text:
+            out.append(end)
+        elif _UNSURE.search(text):
+            out.append(np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end)
         else:
-            out.append((as_bytes(tok.encode(text, add_special_tokens=False)) if text else b"") + end)
+            out.append(b"".join(map(cache.__getitem__, _PIECE.findall(text.lower()))) + end)
     return out
 
 

@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if len(total) < 2:
         return none
     picked = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS))
-    ids = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, y int")  # 2 * MAX_PER_CLASS rows at most
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, y int")  # 2 * MAX_PER_CLASS rows at most
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").repartition(PARTS)
     parts = sample.mapInArrow(_counts, "cell binary, n binary, neg long, pos long").collect()
     df = np.zeros((2, 1 << BITS), np.int64)

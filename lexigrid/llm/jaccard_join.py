@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import components, shingle_set, table, written
+from lexigrid.llm.common import components, released, shingle_set, table, written
 
 #: The share of the hash range in which a shingle's nodes are counted, as a multiple of the share of shingles that a prefix has.
 LOW_SHARE = 1.6
@@ -202,10 +202,10 @@ def join_components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     4. Links join to components, and rows take over their node's.
     """
     read = docs.select("doc_id", "text")
-    rows = written(read.mapInArrow(_prefix_rows(n_words, num, den), "doc_id long, n_shingles long, node long, need int, n_low int, h array<long>"), "jaccard-sets")
+    rows = written(read.mapInArrow(released(_prefix_rows(n_words, num, den)), "doc_id long, n_shingles long, node long, need int, n_low int, h array<long>"), "jaccard-sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = rows.where("node is not null").select(F.explode("h").alias("h"), "node").repartition(parts, "h").sortWithinPartitions("h", "node")
-    shared = tokens.mapInArrow(_shared, "h long, node long").groupBy("node").agg(F.collect_list("h").alias("h"))
+    shared = tokens.mapInArrow(released(_shared), "h long, node long").groupBy("node").agg(F.collect_list("h").alias("h"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("n_low").alias("n_low"))
     shared = shared.join(nodes, "node").select("node", "need", "n_low", F.array_sort("h").alias("h"))
     low = F.filter("h", lambda h: (h >= 0) & (h < _low(num, den)))
@@ -218,7 +218,7 @@ def join_components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     cluster = written(cluster.join(nodes.select("node", "doc_id"), "node"), "jaccard-cluster")
     few = cluster.count() <= BROADCAST_IDS
     again = read.join(F.broadcast(cluster) if few else cluster, read["doc_id"].eqNullSafe(cluster["doc_id"])).select("node", "cluster", "text")
-    sets = again.mapInArrow(_sets(n_words), "node long, cluster long, set binary").dropDuplicates(["node"])
+    sets = again.mapInArrow(released(_sets(n_words)), "node long, cluster long, set binary").dropDuplicates(["node"])
     sets = written(sets.withColumn("n", F.floor(F.length("set") / 8).cast("long")), "jaccard-cluster-sets")
     placed, pairs = _blocks(sets, num, den)
     left = placed.join(pairs.select("cluster", F.col("p").alias("block"), "q"), ["cluster", "block"]).select("cluster", F.col("block").alias("p"), "q", "node", "set", F.lit(0).alias("side"))

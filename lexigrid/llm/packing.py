@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import table, written
+from lexigrid.llm.common import released, table, written
 
 SEQUENCE, GRAIN, END_ID = 4096, 64, 2
 #: Pre-tokens kept per worker process for good, and beyond these at a time.
-CACHE, RECENT = 300_000, 50_000
+CACHE, RECENT = 200_000, 50_000
 #: Texts with other characters, with separators on which libraries differ, or with a special token's opening, go to the library whole.
 _UNSURE = re.compile("[\x1c-\x1f\x85İƀ-\U0010ffff]|<\\|")
 _LETTER, _NUMBER = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
                 cols = list(zip(*out, strict=True)) if out else [[]] * 7
                 yield pa.record_batch([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=[x.split()[0] for x in PIECE.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(released(rows), PIECE)
 
 
 def _price(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
                 seq[own], at[own] = first[p] + q // each[p], offset[p] + q % each[p] * size
             yield pa.record_batch([*(batch.column(k) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(seq), pa.array(at)], names=[x.split()[0] for x in PLACED.split(", ")])
 
-    return ranked.mapInArrow(rows, PLACED)
+    return ranked.mapInArrow(released(rows), PLACED)
 
 
 def default_vocabulary() -> str:

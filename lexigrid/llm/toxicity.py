@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import table
+from lexigrid.llm.common import released, table
 
 SIZES = (3, 4, 5, 6, 8)
 BITS = 19
@@ -43,6 +43,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"cell": pa.array([cell.tobytes()], pa.binary()), "n": pa.array([seen[:, cell].tobytes()], pa.binary()), "neg": [docs[0]], "pos": [docs[1]]})
 
 
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all counts the cells whose log-count ratio stands out most from its error, and their ratios."""
+    df, docs = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+    for batch in batches:
+        for cell, n, neg, pos in zip(*(batch[k].to_pylist() for k in ("cell", "n", "neg", "pos")), strict=True):
+            df[:, np.frombuffer(cell, np.int32)] += np.frombuffer(n, np.int32).reshape(2, -1)
+            docs[0], docs[1] = docs[0] + neg, docs[1] + pos
+    p, q = df[1] + 0.5, df[0] + 0.5
+    ratio = np.log(p / (docs[1] + 1)) - np.log(q / (docs[0] + 1))
+    strength = np.where(df.sum(axis=0) >= 3, np.abs(ratio) / np.sqrt(1 / p + 1 / q), 0)
+    chosen = np.sort(np.argsort(-strength, kind="stable")[:MAX_FEATURES])
+    chosen = chosen[strength[chosen] > 0]
+    yield pa.record_batch({"cell": pa.array([chosen.astype(np.int32).tobytes()], pa.binary()), "ratio": pa.array([ratio[chosen].astype(np.float32).tobytes()], pa.binary())})
+
+
 def _present(select: np.ndarray, width: int, text: str | None) -> np.ndarray:
     """Which of the model's features occur in the text."""
     mark = np.zeros(width + 1, bool)
@@ -83,31 +98,27 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     picked = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS))
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, y int")  # 2 * MAX_PER_CLASS rows at most
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").repartition(PARTS)
-    parts = sample.mapInArrow(_counts, "cell binary, n binary, neg long, pos long").collect()
-    df = np.zeros((2, 1 << BITS), np.int64)
-    for r in parts:
-        cell = np.frombuffer(r["cell"], np.int32)
-        df[:, cell] += np.frombuffer(r["n"], np.int32).reshape(2, -1)
-    n_neg, n_pos = sum(r["neg"] for r in parts), sum(r["pos"] for r in parts)
-    p, q = df[1] + 0.5, df[0] + 0.5
-    ratio = np.log(p / (n_pos + 1)) - np.log(q / (n_neg + 1))
-    strength = np.where(df.sum(axis=0) >= 3, np.abs(ratio) / np.sqrt(1 / p + 1 / q), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[strength[chosen] > 0]
-    select = np.full(1 << BITS, len(chosen), np.int32)
-    select[chosen] = np.arange(len(chosen))
-    ratio, width = ratio[chosen], len(chosen)
+    counts = sample.mapInArrow(released(_counts), "cell binary, n binary, neg long, pos long").repartition(1)
+    chosen = counts.mapInArrow(released(_choose), "cell binary, ratio binary").first()
+    cell, ratio = np.frombuffer(chosen["cell"], np.int32), np.frombuffer(chosen["ratio"], np.float32)
+    width = len(cell)
+    select = np.full(1 << BITS, width, np.int32)
+    select[cell] = np.arange(width)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch({"f": pa.array([np.packbits(_present(select, width, t)).tobytes() for t in batch["text"].to_pylist()], pa.binary()), "y": batch["y"]})
 
-    got = sorted((r["f"], r["y"]) for r in sample.mapInArrow(rows, "f binary, y int").collect())
-    y = np.array([r[1] for r in got], float)
-    weight = np.where(y == 1, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
-    x = np.unpackbits(np.frombuffer(b"".join(r[0] for r in got), np.uint8).reshape(len(got), -1), axis=1, count=width) * ratio.astype(np.float32)
-    w, b = _fit(x, y, weight)
-    return select, w * ratio, b
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((f, y) for batch in batches for f, y in zip(batch["f"].to_pylist(), batch["y"].to_pylist(), strict=True))
+        y = np.array([r[1] for r in got], float)
+        weight = np.where(y == 1, total[1] / max(1, y.sum()), total[0] / max(1, (1 - y).sum()))
+        x = np.unpackbits(np.frombuffer(b"".join(r[0] for r in got), np.uint8).reshape(len(got), -1), axis=1, count=width) * ratio
+        w, b = _fit(x, y, weight)
+        yield pa.record_batch({"w": pa.array([w.tobytes()], pa.binary()), "b": pa.array([b])})
+
+    learnt = sample.mapInArrow(released(rows), "f binary, y int").repartition(1).mapInArrow(released(learn), "w binary, b double").first()
+    return select, np.frombuffer(learnt["w"], np.float64) * ratio, float(learnt["b"])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
@@ -124,7 +135,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
             yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     types = {f.name: f.dataType.simpleString() for f in kept.schema}
-    return kept.mapInArrow(rows, ", ".join(f"`{k}` {types[k]}" for k in keep) + ", score double, predicted int")
+    return kept.mapInArrow(released(rows), ", ".join(f"`{k}` {types[k]}" for k in keep) + ", score double, predicted int")
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -56,6 +56,11 @@ def stemmed(tokens: DataFrame) -> DataFrame:
     return tokens.join(vocabulary, "term").withColumn("term", F.col("stem")).drop("stem")
 
 
+def lemmatised(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """tokens with the lemma of (term, lemma) for each listed term; others stay."""
+    return tokens.join(lemmas, "term", "left").withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
+
+
 def line_pipeline(lines: DataFrame, analyzer: Analyzer) -> DataFrame:
     """(line_no, line) -> (line_no, tokens), lines that become empty dropped."""
     return lines.select("line_no", analyzer.tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)

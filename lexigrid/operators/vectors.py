@@ -22,6 +22,18 @@ def doc_vectors(tokens: DataFrame, words: DataFrame, n_docs: DataFrame, dim: int
     return sums.select("doc_id", F.array(*[F.col(f"v{i}") / F.col("len") for i in range(dim)]).alias("vec"))
 
 
+def query_vectors(queries: DataFrame, words: DataFrame, df: DataFrame) -> DataFrame:
+    """(qid, qvec): the mean of the word vectors (term, vec) of a query's known terms (qid, term), each weighted by 1 / df (term, df)."""
+    rows = queries.join(words, "term").join(df, "term").select("qid", F.posexplode(F.transform("vec", lambda x: x / F.col("df"))).alias("i", "x"))
+    means = rows.groupBy("qid", "i").agg(F.avg("x").alias("x"))
+    return means.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("qid", F.transform("v", lambda p: p["x"]).alias("qvec"))
+
+
+def initialised(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Word vectors (term, vec), those of `known` where it has the term."""
+    return words.join(known.withColumnRenamed("vec", "__known"), "term", "left").withColumn("vec", F.coalesce("__known", "vec")).drop("__known")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, rank, vec_id, sim): exact search; queries (qid, qvec) are a stated, small set and are broadcast. Each task keeps its own k best first."""
     sims = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("sim"))

@@ -239,3 +239,21 @@ def test_text_forms(spark):
     r = spark.range(1).select(sentences(F.lit("A head"), F.lit("One two. Three.")).alias("s")).first()
     assert [len(x) for x in r.s] == [2, 2, 1]
     assert Row(a=1).a == 1
+
+
+def test_word_tables(spark):
+    from lexigrid.functions.text import lemmatised
+
+    t = spark.createDataFrame([(1, "mice"), (1, "cat")], "doc_id long, term string")
+    assert {r.term for r in lemmatised(t, spark.createDataFrame([("mice", "mouse")], "term string, lemma string")).collect()} == {"mouse", "cat"}
+    w = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 4.0])], "term string, vec array<double>")
+    q = spark.createDataFrame([(1, "a"), (1, "b"), (1, "zz")], "qid int, term string")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "term string, df long")
+    assert vectors.query_vectors(q, w, df).first().qvec == [0.5, 1.0]
+    known = spark.createDataFrame([("b", [9.0, 9.0])], "term string, vec array<double>")
+    assert {r.term: r.vec for r in vectors.initialised(w, known).collect()} == {"a": [1.0, 0.0], "b": [9.0, 9.0]}
+
+
+def test_throughput(spark):
+    c = spark.createDataFrame([(1, 0, 1000, 0.0), (1, 0, 1000, 1.0), (1, 1, 2000, 2.0)], "transfer_id long, seq int, bytes long, ts double")
+    assert tuple(transfer.throughput(c).first()) == (1, 2.0, 1)

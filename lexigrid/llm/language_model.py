@@ -160,28 +160,22 @@ def scored(net: Network, docs: list[np.ndarray]) -> np.ndarray:
             streams[s].append(d)
             fill[s] += len(docs[d])
     by = np.argsort(-fill, kind="stable")
+    fill, line = fill[by], [d for s in by for d in streams[s]]
+    # stream after stream in flat arrays, so that memory follows the tokens, not the longest stream
+    target = np.concatenate([docs[d] for d in line])
+    first = np.cumsum([0] + [len(docs[d]) for d in line[:-1]])
+    given, fresh = np.concatenate([[START], target[:-1]]).astype(np.int32), np.zeros(len(target), bool)
+    given[first], fresh[first] = START, True
+    begin = np.concatenate([[0], np.cumsum(fill)[:-1]])
+    scores, h = np.zeros(len(target), np.float32), np.zeros((n, HIDDEN), np.float32)
+    for at in range(0, int(fill[0]), STEPS):
+        m, step = int((fill > at).sum()), np.arange(at, min(int(fill[0]), at + STEPS))
+        real = step[None, :] < fill[:m, None]
+        place = np.where(real, begin[:m, None] + step, begin[:m, None])
+        h, score = net.run(h[:m], given[place], fresh[place] & real, target[place], real, False)
+        scores[place[real]] = score[real]
     total = np.zeros(len(docs))
-    longest = int(fill.max())
-    target, given, fresh = np.zeros((n, longest), np.int32), np.zeros((n, longest), np.int32), np.zeros((n, longest), bool)
-    spans = []
-    for row, s in enumerate(by):
-        at = 0
-        for d in streams[s]:
-            ids = docs[d]
-            target[row, at : at + len(ids)] = ids
-            given[row, at], given[row, at + 1 : at + len(ids)] = START, ids[:-1]
-            fresh[row, at] = True
-            spans.append((d, row, at, at + len(ids)))
-            at += len(ids)
-    fill = fill[by]
-    scores = np.zeros((n, longest), np.float32)
-    h = np.zeros((n, HIDDEN), np.float32)
-    for at in range(0, longest, STEPS):
-        m, end = int((fill > at).sum()), min(longest, at + STEPS)
-        real = np.arange(at, end)[None, :] < fill[:m, None]
-        h, scores[:m, at:end] = net.run(h[:m], given[:m, at:end], fresh[:m, at:end], target[:m, at:end], real, False)
-    for d, row, a, b in spans:
-        total[d] = scores[row, a:b].sum(dtype=np.float64)
+    total[line] = np.add.reduceat(scores.astype(np.float64), first)
     return total
 
 

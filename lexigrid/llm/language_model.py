@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,14 +14,21 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import table, words, written
 
-#: Units of the network; output classes and words in each; streams that run side by side, and steps of a window.
-HIDDEN, CLASSES, PER_CLASS, STREAMS, STEPS = 12, 24, 32, 1024, 16
-VOCABULARY = CLASSES * PER_CLASS
-UNKNOWN, END, START = 0, 1, VOCABULARY
-#: Frequent words whose counts go to every task; all others are counted in a shuffle.
+#: Units of the network; output classes and words in each of the smallest one; streams that run side by side, and steps of a window.
+HIDDEN, CLASSES, PER_CLASS, STREAMS, STEPS = 24, 24, 32, 1024, 16
+#: The smallest vocabulary, and how often a word occurs in training to have its own outcome: the vocabulary grows with the corpus.
+VOCABULARY, LEAST = CLASSES * PER_CLASS, 100
+UNKNOWN, END = 0, 1
+#: Frequent words (and all of the network's) whose counts go to every task; all others are counted in a shuffle.
 FREQUENT = 1 << 16
-#: Documents of the common start of all tasks' training; tasks whose weights are averaged at a time.
-WARM, FAN_IN, RATE = 2000, 16, 0.004
+#: Documents of the common start of all tasks' training; tasks, or bytes, whose weights are averaged at a time.
+WARM, FAN_IN, FAN_BYTES, RATE = 2000, 16, 1 << 26, 0.004
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Classes, and words in each, for n outcomes or some more."""
+    side = math.isqrt(max(n, 1) - 1) + 1
+    return (CLASSES, PER_CLASS) if n <= VOCABULARY else (-(-n // side), side)
 
 
 class Network:
@@ -30,9 +38,12 @@ class Network:
         if weights is None:
             rng, h = np.random.default_rng(7), HIDDEN
             normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-            share = ((counts + 1.0) / (counts + 1.0).sum()).reshape(CLASSES, PER_CLASS)
-            weights = [normal(VOCABULARY + 1, 3 * h), normal(h, 2 * h), normal(h, h), normal(h, CLASSES), np.log(share.sum(axis=1)).astype(np.float32), normal(CLASSES, h, PER_CLASS), np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)]
+            classes, per = _shape(len(counts))
+            share = ((counts + 1.0) / (counts + 1.0).sum()).reshape(classes, per)
+            weights = [normal(len(counts) + 1, 3 * h), normal(h, 2 * h), normal(h, h), normal(h, classes), np.log(share.sum(axis=1)).astype(np.float32), normal(classes, h, per), np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)]
         self.weights = weights
+        #: The id given before a document's first word.
+        self.start = len(weights[0]) - 1
         self.moments: list | None = None
         self.t = 0
 
@@ -40,6 +51,7 @@ class Network:
         """A window of (streams, steps): the last state, and the natural log-probability of each target. fresh: a document starts here."""
         table_, gates, own, cw, cb, ww, wb = self.weights
         n, steps, k = *given.shape, HIDDEN
+        classes, per = len(ww), ww.shape[2]
         a, kept, states = table_[given], [], np.empty((steps, n, k), np.float32)
         for t in range(steps):
             old = np.where(fresh[:, t, None], np.float32(0), h)
@@ -52,22 +64,21 @@ class Network:
                 kept.append((old, g, c))
         flat, y = states.reshape(-1, k), target.T.ravel()
         alive = np.flatnonzero(real.T.ravel())
-        order = alive[np.argsort(y[alive] // PER_CLASS, kind="stable")]
+        order = alive[np.argsort(y[alive] // per, kind="stable")]
         x, y = flat[order], y[order]
-        cls, word = y // PER_CLASS, y % PER_CLASS
+        cls, word = y // per, y % per
         rows = np.arange(len(y))
         p = x @ cw + cb
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         score = np.log(p[rows, cls])
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+        ends = np.searchsorted(cls, np.arange(classes + 1))
         dx = np.zeros_like(x)
         dww, dwb = (np.zeros_like(ww), np.zeros_like(wb)) if learn else (None, None)
-        for i in range(CLASSES):
+        met = np.flatnonzero(np.diff(ends))
+        for i in met:
             s = slice(ends[i], ends[i + 1])
-            if s.start == s.stop:
-                continue
             q = x[s] @ ww[i] + wb[i]
             q -= q.max(axis=1, keepdims=True)
             np.exp(q, out=q)
@@ -83,11 +94,11 @@ class Network:
         if learn and len(order):
             p[rows, cls] -= 1
             dx += p @ cw.T
-            self._back(kept, given, fresh, order, dx, [None, None, None, x.T @ p, p.sum(axis=0), dww, dwb], n, steps)
+            self._back(kept, given, fresh, order, dx, [None, None, None, x.T @ p, p.sum(axis=0), dww[met], dwb[met]], met, n, steps)
         return h, out.reshape(steps, n).T
 
-    def _back(self, kept: list, given: np.ndarray, fresh: np.ndarray, order: np.ndarray, dx: np.ndarray, grads: list, n: int, steps: int) -> None:
-        """Backward through the window's steps, and one step of Adam."""
+    def _back(self, kept: list, given: np.ndarray, fresh: np.ndarray, order: np.ndarray, dx: np.ndarray, grads: list, met: np.ndarray, n: int, steps: int) -> None:
+        """Backward through the window's steps, and one step of Adam: of words' rows and classes (met), only those in the window."""
         table_, gates, own, *_ = self.weights
         k = HIDDEN
         every = np.zeros((steps * n, k), np.float32)
@@ -109,21 +120,19 @@ class Network:
         ids, rows = given.T.ravel(), da.reshape(-1, 3 * k)
         o = np.argsort(ids, kind="stable")
         first = np.concatenate([[0], np.flatnonzero(np.diff(ids[o])) + 1])
-        dtable = np.zeros_like(table_)
-        dtable[ids[o][first]] = np.add.reduceat(rows[o], first, axis=0)
-        grads[:3] = [dtable, dgates, down]
+        grads[:3] = [np.add.reduceat(rows[o], first, axis=0), dgates, down]
+        whole = slice(None)
+        touched = [ids[o][first], whole, whole, whole, whole, met, met]
         scale = np.float32(1 / len(order))
         if self.moments is None:
             self.moments = [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights]
         self.t += 1
         rate = np.float32(RATE * np.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t))
-        for w, g, (m, v) in zip(self.weights, grads, self.moments, strict=True):
+        for w, g, at, (m, v) in zip(self.weights, grads, touched, self.moments, strict=True):
             g = g * scale
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            v *= np.float32(0.995)
-            v += np.float32(0.005) * g * g
-            w -= rate * m / (np.sqrt(v) + np.float32(1e-7))
+            m[at] = np.float32(0.9) * m[at] + np.float32(0.1) * g
+            v[at] = np.float32(0.995) * v[at] + np.float32(0.005) * g * g
+            w[at] -= rate * m[at] / (np.sqrt(v[at]) + np.float32(1e-7))
 
 
 def taught(net: Network, docs: list[np.ndarray]) -> None:
@@ -131,9 +140,9 @@ def taught(net: Network, docs: list[np.ndarray]) -> None:
     if not docs:
         return
     target = np.concatenate(docs)
-    given = np.concatenate([[START], target[:-1]]).astype(np.int32)
+    given = np.concatenate([[net.start], target[:-1]]).astype(np.int32)
     first = np.cumsum([0] + [len(d) for d in docs[:-1]])
-    given[first] = START
+    given[first] = net.start
     fresh = np.zeros(len(target), bool)
     fresh[first] = True
     n = max(1, min(STREAMS, len(target) // STEPS))
@@ -164,8 +173,8 @@ def scored(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     # stream after stream in flat arrays, so that memory follows the tokens, not the longest stream
     target = np.concatenate([docs[d] for d in line])
     first = np.cumsum([0] + [len(docs[d]) for d in line[:-1]])
-    given, fresh = np.concatenate([[START], target[:-1]]).astype(np.int32), np.zeros(len(target), bool)
-    given[first], fresh[first] = START, True
+    given, fresh = np.concatenate([[net.start], target[:-1]]).astype(np.int32), np.zeros(len(target), bool)
+    given[first], fresh[first] = net.start, True
     begin = np.concatenate([[0], np.cumsum(fill)[:-1]])
     scores, h = np.zeros(len(target), np.float32), np.zeros((n, HIDDEN), np.float32)
     for at in range(0, int(fill[0]), STEPS):
@@ -196,21 +205,22 @@ def _ranks(text: str | None, rank: dict[bytes, int]) -> tuple[np.ndarray, list[b
     return np.fromiter((get(x, -1) for x in w), np.int32, len(w)), w
 
 
-def _ids(r: np.ndarray) -> np.ndarray:
-    """Ranks as the network's ids, END last."""
-    return np.append(np.where((r >= 0) & (r < VOCABULARY - 2), r + 2, UNKNOWN), END).astype(np.int32)
+def _ids(r: np.ndarray, size: int) -> np.ndarray:
+    """Ranks as the ids of a network of that vocabulary, END last."""
+    return np.append(np.where((r >= 0) & (r < size - 2), r + 2, UNKNOWN), END).astype(np.int32)
 
 
-def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's most frequent words."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's words with their counts; a word can come more than once."""
+    rows = lambda seen: pa.record_batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
     seen: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
             seen.update(words(text))
-        if len(seen) > 16 * FREQUENT:
-            seen = Counter(dict(seen.most_common(4 * FREQUENT)))
-    best = seen.most_common(FREQUENT)
-    yield pa.record_batch({"word": pa.array([w for w, _ in best], pa.binary()), "n": pa.array([n for _, n in best], pa.int64())})
+        if len(seen) > 8 * FREQUENT:
+            yield rows(seen)
+            seen = Counter()
+    yield rows(seen)
 
 
 def _train(listed, start: list[np.ndarray] | None, approximate: np.ndarray):
@@ -225,7 +235,7 @@ def _train(listed, start: list[np.ndarray] | None, approximate: np.ndarray):
             for text in batch.column("text").to_pylist():
                 r, _ = _ranks(text, rank)
                 met.append(r[r >= 0])
-                some.append(_ids(r))
+                some.append(_ids(r, net.start))
                 tokens += len(some[-1])
                 docs += 1
             counts += np.bincount(np.concatenate(met), minlength=len(rank))
@@ -239,9 +249,9 @@ def _train(listed, start: list[np.ndarray] | None, approximate: np.ndarray):
     return rows
 
 
-def _shaped(blob: bytes) -> list[np.ndarray]:
+def _shaped(blob: bytes, size: int) -> list[np.ndarray]:
     flat, out = np.frombuffer(blob, "<f4"), []
-    for w in Network(np.zeros(VOCABULARY)).weights:
+    for w in Network(np.zeros(size)).weights:
         out.append(flat[: w.size].reshape(w.shape).copy())
         flat = flat[w.size :]
     return out
@@ -264,10 +274,10 @@ def _score(listed, weights: list[np.ndarray], counts: np.ndarray, n_docs: int):
             some, cols = [], [[] for _ in range(8)]
             for text in batch.column("text").to_pylist():
                 r, w = _ranks(text, rank)
-                some.append(_ids(r))
+                some.append(_ids(r, net.start))
                 common = r[r >= 0]
                 rare = Counter([w[i] for i in np.flatnonzero(r < 0)])
-                outside = common[common >= VOCABULARY - 2]
+                outside = common[common >= net.start - 2]
                 values = ((part << 33) + nth, len(w) + 1, int((counts[common] > 0).sum()) + (n_docs > 0), float(log[common].sum()) + end, float(log[outside].sum()), len(outside) + len(w) - len(common), [_hash(x) for x in rare], list(rare.values()))
                 nth += 1
                 for c, v in zip(cols, values, strict=True):
@@ -301,27 +311,31 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     all_ = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     train = all_.where("not held_out").select("doc_id", "text")
-    top = train.select("text").mapInArrow(_top, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    listed = spark.sparkContext.broadcast([bytes(r["word"]) for r in top])  # FREQUENT words at most
-    rough = np.zeros(VOCABULARY)
+    found = written(train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    size = math.prod(_shape(found.where(F.col("n") >= LEAST).count() + 2))
+    top = found.orderBy(F.desc("n"), "word").limit(max(FREQUENT, size)).collect()
+    listed = spark.sparkContext.broadcast([bytes(r["word"]) for r in top])  # FREQUENT words, or the network's
+    rough = np.zeros(size)
     some = [r["n"] for r in top]
-    rough[2 : 2 + min(len(some), VOCABULARY - 2)] = some[: VOCABULARY - 2]
-    rough[UNKNOWN], rough[END] = sum(some[VOCABULARY - 2 :]) + 1, max(1, sum(some) // 400)
+    rough[2 : 2 + min(len(some), size - 2)] = some[: size - 2]
+    rough[UNKNOWN], rough[END] = sum(some[size - 2 :]) + 1, max(1, sum(some) // 400)
     schema = "kind int, key long, n long, blob binary"
     ids = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM)
     warm = train.join(F.broadcast(ids), "doc_id").select("text").repartition(1).mapInArrow(_train(listed, None, rough), schema).where("kind = 0").select("blob").collect()
-    start = _shaped(bytes(warm[0]["blob"])) if warm else None
-    parts = written(train.select("text").mapInArrow(_train(listed, start, rough), schema), "lm-train")
+    start = _shaped(bytes(warm[0]["blob"]), size) if warm else None
+    tasks = 2 * spark.sparkContext.defaultParallelism  # not one for each split: every task gives a whole network
+    parts = written(train.select("text").coalesce(tasks).mapInArrow(_train(listed, start, rough), schema), "lm-train")
     counts = np.zeros(len(some), np.int64)
-    for r in parts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # FREQUENT rows at most
+    for r in parts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # as many rows as listed
         counts[r["key"]] = r["n"]
     nodes = parts.where("kind = 0").select(F.col("key").alias("node"), "n", "blob")
     width = (nodes.agg(F.max("node")).first()[0] or 0) + 1  # a node is a task's number
+    fan = max(2, min(FAN_IN, FAN_BYTES // (16 * HIDDEN * size)))
     while width > 1:
-        nodes = nodes.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("node").applyInArrow(_mean, "node long, n long, blob binary")
-        width = -(-width // FAN_IN)
+        nodes = nodes.withColumn("node", F.floor(F.col("node") / fan).cast("long")).groupBy("node").applyInArrow(_mean, "node long, n long, blob binary")
+        width = -(-width // fan)
     final = nodes.select("blob").collect()
-    weights = _shaped(bytes(final[0]["blob"])) if final else Network(rough).weights
+    weights = _shaped(bytes(final[0]["blob"]), size) if final else Network(rough).weights
     n_docs = train.count()
     rows = written(all_.mapInArrow(_score(listed, weights, counts, n_docs), f"doc_id {dict(all_.dtypes)['doc_id']}, held_out boolean, {STATS}"), "lm-rows")
     one = F.explode(F.arrays_zip("rare", "times")).alias("x")
@@ -333,7 +347,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     rare = written(rare, "lm-rare")
     n = rows.where("not held_out").agg(F.sum("n_tokens")).first()[0] or 0
     v = int((counts > 0).sum()) + (n_docs > 0) + (rare.agg(F.sum("kinds")).first()[0] or 0)
-    inside = counts[: VOCABULARY - 2]
+    inside = counts[: size - 2]
     outside = (n - int(inside.sum()) - n_docs) + (v - int((inside > 0).sum()) - (n_docs > 0)) + 1
     out = rows.join(rare, "row", "left").withColumn("log_rare", F.coalesce("log_rare", F.lit(0.0)))
     return out.select(

@@ -276,6 +276,14 @@ def test_state_is_carried():
     assert np.allclose(language_model.scored(net, docs), alone, rtol=1e-4)
 
 
+def test_vocabulary_grows(spark):
+    """Of 1,000 words, each often enough, the network tells also the last ones apart: another order has another score."""
+    w = [f"w{k:04d}" for k in range(1000)]
+    rows = [(k, " ".join(w)) for k in range(120)] + [(1000, "w0990 w0999 w0995"), (1001, "w0999 w0995 w0990")]
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert abs(got[1000] - got[1001]) > 1e-6
+
+
 # --- 8 and 10 -----------------------------------------------------------------------------------------------------------
 def groups(n, links):
     parent = list(range(n))

@@ -117,17 +117,20 @@ def _parts(raw: Column, k: Column) -> Column:
     )
 
 
-def _name(canon: Column, role: Column, h: Column) -> Column:
+def _name(canon: Column, role: Column, h: Column, attempt: Column) -> Column:
+    """A name of two or three syllables and an ending, and one more syllable for each attempt, so that there are always enough."""
+
     def made(script: str) -> Column:
         ending = F.when(role == "last", _pick(h, 9, ENDINGS[script, "last"])).when(role == "first-m", _pick(h, 9, ENDINGS[script, "m"])).when(role == "first-f", _pick(h, 9, ENDINGS[script, "f"])).otherwise(_pick(h, 9, ENDINGS[script, "u"]))
-        return F.concat(_pick(h, 0, SYLLABLES[script]), _pick(h, 1, SYLLABLES[script]), F.when(_byte(h, 2) % 2 == 0, _pick(h, 3, SYLLABLES[script])).otherwise(""), ending)
+        more = F.transform(F.slice(F.sequence(F.lit(0), attempt), F.lit(2), attempt), lambda i: F.get(F.array(*map(F.lit, SYLLABLES[script])), _byte(h, i + 9) % 16))
+        return F.concat(_pick(h, 0, SYLLABLES[script]), _pick(h, 1, SYLLABLES[script]), F.when(_byte(h, 2) % 2 == 0, _pick(h, 3, SYLLABLES[script])).otherwise(""), F.array_join(more, ""), ending)
 
     return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
 
 
 def surrogate(part: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of a part, from a keyed digest of it and the attempt."""
-    seed = F.struct(part["type"].alias("t"), part["canon"].alias("c"), F.sha2(F.concat_ws("\x1f", F.lit(key), part["type"], part["canon"], attempt.cast("string")), 256).alias("h"))
+    seed = F.struct(part["type"].alias("t"), part["canon"].alias("c"), attempt.alias("a"), F.sha2(F.concat_ws("\x1f", F.lit(key), part["type"], part["canon"], attempt.cast("string")), 256).alias("h"))
 
     def made(x: Column) -> Column:
         t, c, h = x["t"], x["c"], x["h"]
@@ -138,7 +141,7 @@ def surrogate(part: Column, attempt: Column, key: str) -> Column:
             .when(t == "ip", F.array_join(F.transform(F.array(*map(F.lit, range(4))), lambda i: (F.lit(1) + _byte(h, i) % 254).cast("string")), "."))
             .when(t == "card", card)
             .when(t == "phone", F.concat(F.split(c, r"\|")[0], F.lit("|"), _alike(F.split(c, r"\|")[1], h)))
-            .otherwise(_name(c, t, h))
+            .otherwise(_name(c, t, h, x["a"]))
         )
 
     return let(seed, made)

@@ -188,6 +188,14 @@ def test_surrogates_stay_distinct(spark):
         assert len(set(new)) == len(set(old)) == 200 and not set(new) & set(old)
 
 
+def test_more_names_than_short_surrogates(spark):
+    """20,000 family names: there are 17,408 names of the first attempt."""
+    names = spark.range(20_000).select(F.lit("last").alias("type"), F.translate(F.format_string("%05d", "id"), "0123456789", "qwzxpjkvbg").alias("canon"))
+    again = {r.canon: r.attempt for r in pii._attempts(names, "surrogates").collect()}
+    new = names.join(spark.createDataFrame(list(again.items()), "canon string, attempt int"), "canon", "left").select(pii.surrogate(F.struct("type", "canon"), F.coalesce("attempt", F.lit(0)), "surrogates").alias("new"))
+    assert new.distinct().count() == 20_000
+
+
 def test_clean_texts_stay(spark, texts):
     planted = re.compile(r"@|\d{3}")
     for r in registry.QUERIES["op4_pii"](spark, SF).collect():

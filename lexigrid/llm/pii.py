@@ -15,17 +15,25 @@ CLASSES = ["0123456789", "aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMN
 SYLLABLES = {"latin": ["ba", "ren", "do", "lin", "mar", "to", "sel", "vi", "kor", "na", "tal", "fe", "ris", "gu", "hel", "mo"], "cyrillic": ["ба", "рен", "до", "лин", "мар", "то", "сел", "ви", "кор", "на", "тал", "фе", "рис", "гу", "хел", "мо"]}
 ENDINGS = {("latin", "m"): ["rick", "win", "bert", "nand"], ("latin", "f"): ["lia", "nora", "wina", "rette"], ("latin", "u"): ["ley", "lin", "ris", "quin"], ("latin", "last"): ["man", "well", "ford", "stein"], ("cyrillic", "m"): ["слав", "мир", "тин", "дей"], ("cyrillic", "f"): ["слава", "мира", "тина", "лия"], ("cyrillic", "u"): ["ша", "ня", "ка", "ра"], ("cyrillic", "last"): ["енко", "ич", "ук", "ян"]}
 TLDS = ["com", "org", "net"]
+#: Words within a name that stay, and letters (and digits) for those of an email that are in no class, by what they match.
+PARTICLES = ["de", "del", "da", "do", "dos", "das", "di", "du", "des", "la", "las", "los", "le", "van", "von", "der", "den", "ter", "ten", "zu", "zum", "zur", "vom", "af", "av", "bin", "ibn", "al", "el", "y", "e", "i"]
+OTHERS = [(r"\p{IsHan}", "安白陈丁方高何江林马宁潘秦孙王周"), (r"\p{IsHiragana}", "あいかきさしたちなにはひまみらり"), (r"\p{IsKatakana}", "アイカキサシタチナニハヒマミラリ"), (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπ"), (r"\p{IsCyrillic}", "абвгдежзиклмнопр"), (r"\p{IsArabic}", "ابتثجحدرسشصعفقكل"), (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסע"), (r"\p{IsDevanagari}", "कखगघचछजटडतदनपबमर"), (r"\p{IsThai}", "กขคจชดตทนบปผพมยร"), (r"\p{L}", "bcdfghklmnprstvz"), (r"\p{N}", "0123456789")]
 
 _TITLE = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})"
-_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.?\x20\p{{Lu}}[\p{{L}}'’-]{{1,40}}+(?:\x20\p{{Lu}}[\p{{L}}'’-]{{1,40}}+)?"
+_MORE = rf"(?:{'|'.join(NEUTRAL)})"
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})"
+_WORD = rf"(?!{_MORE}(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]{{1,40}}+"
+_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.?\x20(?:{_MORE}\.?\x20)*(?:{_PARTICLE}\x20)*{_WORD}(?:\x20(?:{_PARTICLE}\x20)*{_WORD})*"
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"
 _CARD = r"(?<![\p{L}\p{N}._-])\d{4}(?:\d{9,15}|(?:[\x20-]\d{4}){2}[\x20-]\d{1,7})(?![\p{L}\p{N}]|[.-]\d)"
-_PHONE = r"(?<![\p{L}\p{N}._+-])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[.-])\d{3,4}[\x20.-]\d{3,4}(?![\p{L}\p{N}]|[.-]\d)|(?<![\p{L}\p{N}._+-])\+\d{1,3}(?:\x20\d{2,4}){2,4}(?![\p{L}\p{N}])"
+_PHONE = r"(?<![\p{L}\p{N}._+-])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[.-])\d{3,4}[\x20.-]\d{3,4}(?![\p{L}\p{N}]|[.-]\d)|(?<![\p{L}\p{N}._+-])\+\d{1,3}(?:\x20\d{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}._+-])(?:\+\d{1,3}[\x20.-]?\d{6,12}|(?<!\d\x20)\d{3}\x20\d{3}\x20\d{4}(?!\x20\d))(?![\p{L}\p{N}]|[.-]\d)"
+#: Country codes, where nothing parts them from the number.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ENTITY = f"{_NAME}|{_EMAIL}|{_IP}|{_CARD}|{_PHONE}"
 #: What a text with an entity has for sure: a digit or @, or a title before a capital.
-_HINT = rf"[0-9@]|{_TITLE}\.?\x20\p{{Lu}}"
+_HINT = rf"[0-9@]|{_TITLE}\.?\x20(?:{_PARTICLE}\x20)*\p{{Lu}}"
 #: Up to so many entities with another than their first surrogate go to the executors as one map; more are joined.
 MAP_ROWS = 10_000
 
@@ -51,6 +59,8 @@ def _alike(s: Column, h: Column) -> Column:
         out = F.when(c == "", "")
         for cls in CLASSES:
             out = out.when(F.instr(F.lit(cls), c) > 0, F.substring(F.lit(cls), F.lit(1) + _byte(h, i) % len(cls), F.lit(1)))
+        for match, letters in OTHERS:
+            out = out.when(c.rlike(match), F.substring(F.lit(letters), F.lit(1) + _byte(h, i) % len(letters), F.lit(1)))
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(s, ""), one), "")
@@ -92,27 +102,45 @@ def _gender(raw: Column) -> Column:
     return F.when(said(MALE), "m").when(said(FEMALE), "f").otherwise("u")
 
 
-def entities(text: Column) -> Column:
-    """array<struct<raw, kind, parts array<struct<type, canon>>>> of a text's entities, in order.
+def _stays(token: Column) -> Column:
+    """Whether a word after a name's title is a further title or a particle."""
+    return token.rlike(rf"^(?:{_MORE}\.?|{_PARTICLE})$")
 
-    parts is what is replaced. A name has a family name, and may have a given name of its title's gender.
+
+def _said(tokens: Column) -> Column:
+    """A name's own words: without its title, further ones and particles."""
+    rest = F.when(F.size(tokens) > 1, F.slice(tokens, 2, F.size(tokens))).otherwise(tokens)
+    return F.filter(rest, lambda t: ~_stays(t))
+
+
+def pattern(text: Column) -> Column:
+    """ENTITY, and the family names that the text has with a title wherever they stand alone, also in capitals."""
+    families = lambda name: let(_said(F.split(name, " ")), lambda w: F.when(F.size(w) > 1, F.slice(w, 2, F.size(w))).otherwise(w))
+    words = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), families)), lambda w: F.array(w, F.upper(w), F.initcap(w)))))
+    return let(words, lambda w: F.when(F.size(w) == 0, F.lit(ENTITY)).otherwise(F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(w, "|"), F.lit(r")(?![\p{L}\p{N}])"))))
+
+
+def entities(text: Column, by: Column) -> Column:
+    """array<struct<raw, kind, parts array<struct<type, canon>>>> of a text's entities, in order; by: its pattern().
+
+    parts is what is replaced. Of a titled name's words the last is a family name; the first of several is a given name of the title's
+    gender, those between count as family names (no list of names tells 'Maria' from 'García'), and particles stay.
     """
-    kinds = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda r: F.struct(r.alias("raw"), kind(r).alias("kind")))
+    kinds = F.transform(F.regexp_extract_all(text, by, F.lit(0)), lambda r: F.struct(r.alias("raw"), kind(r).alias("kind")))
     return F.transform(kinds, lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), _parts(x["raw"], x["kind"]).alias("parts")))
 
 
 def _parts(raw: Column, k: Column) -> Column:
-    tokens = F.split(raw, " ")
     part = lambda t, c: F.struct((F.lit(t) if isinstance(t, str) else t).alias("type"), c.alias("canon"))
-    cc = F.regexp_extract(raw, r"^\+(\d{1,3})(?=[^0-9])", 1)
-    family = part("last", F.lower(F.element_at(tokens, -1)))
-    given = part(F.concat(F.lit("first-"), _gender(raw)), F.lower(F.get(tokens, F.lit(1))))
+    cc = F.when(raw.rlike(r"^\+\d{1,3}[^0-9]"), F.regexp_extract(raw, r"^\+(\d{1,3})(?=[^0-9])", 1)).otherwise(F.regexp_extract(raw, _COUNTRY, 1))
+    given = F.concat(F.lit("first-"), _gender(raw))
+    names = let(_said(F.split(raw, " ")), lambda said: F.transform(said, lambda w, i: part(F.when((i == 0) & (F.size(said) > 1), given).otherwise("last"), F.lower(w))))
     return (
         F.when(k == "email", F.array(part("email", F.lower(raw))))
         .when(k == "ip", F.array(part("ip", raw)))
         .when(k == "card", F.array(part("card", _digits(raw))))
         .when(k == "phone", F.array(part("phone", let(cc, lambda c: F.concat(c, F.lit("|"), F.substring(_digits(raw), F.length(c) + 1, F.lit(40)))))))
-        .when(k == "name", F.when(F.size(tokens) > 2, F.array(family, given)).otherwise(F.array(family)))
+        .when(k == "name", names)
         .otherwise(F.array().cast("array<struct<type:string,canon:string>>"))
     )
 
@@ -154,17 +182,20 @@ def _cased(new: Column, old: Column) -> Column:
 def replaced(found: Column, again: Column, key: str) -> Column:
     """Entities (see entities()) with their surrogates, in their formats; again: a map from type and canon to the attempt, where that isn't 0."""
     attempt = lambda p: F.coalesce(F.try_element_at(again, F.concat_ws("\x1f", p["type"], p["canon"])), F.lit(0))
-    made = F.transform(found, lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), F.split(x["raw"], " ").alias("tokens"), F.transform(x["parts"], lambda p: surrogate(p, attempt(p), key)).alias("new")))
+    made = F.transform(found, lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), F.transform(x["parts"], lambda p: surrogate(p, attempt(p), key)).alias("new")))
 
     def filled(x: Column) -> Column:
-        raw, k, tokens, first = x["raw"], x["kind"], x["tokens"], F.get(x["new"], F.lit(0))
-        given = F.when(F.size(tokens) > 2, F.concat(_cased(F.get(x["new"], F.lit(1)), F.get(tokens, F.lit(1))), F.lit(" "))).otherwise("")
+        raw, k, first = x["raw"], x["kind"], F.get(x["new"], F.lit(0))
+        # the surrogates take their words' places in turn
+        start = F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).alias("k"))
+        step = lambda a, t: F.when((F.size(a["s"]) == 0) & raw.contains(" ") | _stays(t), F.struct(F.concat(a["s"], F.array(t)).alias("s"), a["k"].alias("k"))).otherwise(F.struct(F.concat(a["s"], F.array(_cased(F.get(x["new"], a["k"]), t))).alias("s"), (a["k"] + 1).alias("k")))
+        name = F.array_join(F.aggregate(F.split(raw, " "), start, step)["s"], " ")
         return (
             F.when(k == "email", F.when(raw == F.upper(raw), F.upper(first)).otherwise(first))
             .when(k == "ip", first)
             .when(k == "card", _refill(raw, first))
             .when(k == "phone", _refill(raw, F.regexp_replace(first, r"\|", "")))
-            .when(k == "name", F.concat(F.get(tokens, F.lit(0)), F.lit(" "), given, _cased(first, F.element_at(tokens, -1))))
+            .when(k == "name", name)
             .otherwise(raw)
         )
 
@@ -198,7 +229,7 @@ def anonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     are replaced alike. A text column is needed; all others pass through, whatever their names.
     """
     hinted = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
-    every = F.flatten(F.transform(entities(F.col("text")), lambda x: x["parts"]))
+    every = F.flatten(F.transform(entities(F.col("text"), pattern(F.col("text"))), lambda x: x["parts"]))
     found = written(docs.where(hinted).select(F.explode(every).alias("p")).select("p.type", "p.canon").distinct(), "pii-parts")
     again = written(_attempts(found, key), "pii-again")
     label = F.concat_ws("\x1f", "type", "canon")
@@ -215,8 +246,8 @@ def anonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         share = tagged.join(again, (F.col("p.type") == F.col("type")) & (F.col("p.canon") == F.col("canon"))).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct(label.alias("k"), "attempt"))).alias(own))
         hits = hits.join(share, F.sha2("text", 256) == F.col("sha"), "left").drop("sha").withColumn(own, F.coalesce(own, F.create_map().cast("map<string,int>")))
     mine = "__entities" if "__entities" not in hits.columns else f"__entities{own}"
-    hits = hits.withColumn(mine, entities(F.col("text")))
-    new = F.array_join(F.zip_with(F.split("text", ENTITY, -1), replaced(F.col(mine), F.col(own), key), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    hits = hits.withColumn(mine, entities(F.col("text"), pattern(F.col("text"))))
+    new = F.array_join(F.zip_with(F.split("text", pattern(F.col("text")), -1), replaced(F.col(mine), F.col(own), key), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     count = F.size(F.filter(mine, lambda x: x["kind"].isNotNull())).cast("long")
     hits = hits.select(*[F.col(f"`{c}`") if c != "text" else new.alias("text") for c in docs.columns], count.alias("n_entities"))
     return hits.unionByName(docs.where(~hinted).withColumn("n_entities", F.lit(0).cast("long")))

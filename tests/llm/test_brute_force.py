@@ -188,6 +188,23 @@ def test_surrogates_stay_distinct(spark):
         assert len(set(new)) == len(set(old)) == 200 and not set(new) & set(old)
 
 
+def test_whole_names_phones_and_scripts(spark):
+    t = [
+        "Dr Anna Maria Kowalska spoke. Kowalska said so, KOWALSKA too; Kowalskas stay. Señora Ana García de la Vega met Herr Dr. Vega.",
+        "Call +15551234567, +1 5551234567, 555 123 4567 or (555) 123-4567; not 1 555 123 4567 8.",
+        "Write to 李明@firma.de or ελένη@firma.de.",
+        "Kowalska alone stays: no title names her here.",
+    ]
+    a, b, c, d = (r.text for r in pii.anonymise(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect())
+    names = re.fullmatch(r"Dr (\w+) (\w+) (\w+) spoke\. (\w+) said so, (\w+) too; Kowalskas stay\. Señora (\w+) (\w+) de la (\w+) met Herr Dr\. (\w+)\.", a)
+    assert names and names[3] == names[4] and names[5] == names[3].upper() and names[8] == names[9]
+    assert not {"Anna", "Maria", "Kowalska", "KOWALSKA", "Ana", "García", "Vega"} & set(names.groups())
+    phones = re.fullmatch(r"Call \+1(\d{10}), \+1 (\d{10}), (\d{3} \d{3} \d{4}) or \((\d{3})\) (\d{3})-(\d{4}); not 1 555 123 4567 8\.", b)
+    assert phones and phones[1] == phones[2] != "5551234567" and phones[3] == " ".join(phones.groups()[3:]) != "555 123 4567"
+    assert re.fullmatch(r"Write to [\u4e00-\u9fff]{2}@\w{5}\.example\.\w{3} or [\u0370-\u03ff]{3,5}@\w{5}\.example\.\w{3}\.", c) and "李明" not in c and "ελένη" not in c
+    assert d == t[3]
+
+
 def test_more_names_than_short_surrogates(spark):
     """20,000 family names: there are 17,408 names of the first attempt."""
     names = spark.range(20_000).select(F.lit("last").alias("type"), F.translate(F.format_string("%05d", "id"), "0123456789", "qwzxpjkvbg").alias("canon"))

@@ -228,7 +228,7 @@ def stemmed_ranked(spark, sf):
 @query("lda_topics")
 def lda_topics(spark, sf):
     rows = docs(spark, sf).select("doc_id", "corpus", PLAIN.tokens(F.col("text")).alias("tokens"))
-    model, vocab, _ = corpus.topics(rows, "tokens", k=5, iterations=3)
+    model, vocab, _ = corpus.topics(rows, "tokens")
     return corpus.topic_words(model, vocab, 10)
 
 
@@ -236,7 +236,7 @@ def lda_topics(spark, sf):
 def word2vec_neighbours(spark, sf):
     from lexigrid.operators.learn import word_vectors
 
-    model = word_vectors(docs(spark, sf).select(PLAIN.tokens(F.col("text")).alias("tokens")), "tokens", size=16, least=20)
+    model = word_vectors(docs(spark, sf).select(PLAIN.tokens(F.col("text")).alias("tokens")), "tokens", size=300, epochs=4)
     return model.findSynonyms("the", 10)
 
 

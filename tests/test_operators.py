@@ -257,3 +257,16 @@ def test_word_tables(spark):
 def test_throughput(spark):
     c = spark.createDataFrame([(1, 0, 1000, 0.0), (1, 0, 1000, 1.0), (1, 1, 2000, 2.0)], "transfer_id long, seq int, bytes long, ts double")
     assert tuple(transfer.throughput(c).first()) == (1, 2.0, 1)
+
+
+def test_topics_and_word_vectors_are_whole(spark, monkeypatch):
+    """20 topics; 300 dimensions, also for words met three times."""
+    from lexigrid import catalog
+    from lexigrid.plans import text_queries
+
+    sf, models, train = "/root/testdata/sf0.001", [], learn.word_vectors
+    assert catalog.QUERIES["lda_topics"](spark, sf).count() == 200
+    monkeypatch.setattr(learn, "word_vectors", lambda *a, **k: models.append(train(*a, **k)) or models[0])
+    assert catalog.QUERIES["word2vec_neighbours"](spark, sf).count() == 10
+    counts = text_queries.tokens(spark, sf).groupBy("term").count().where("count >= 3").count()
+    assert models[0].getVectors().count() == counts and models[0].getVectorSize() == 300

@@ -1,363 +1,285 @@
-"""Language-model scores: a gated recurrent network in numpy, over the whole of every document, beside an add-one unigram base."""
+"""Language-model scores: a gated recurrent network over the whole of every document, beside an add-one unigram base."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import table, words, written
-
-#: Units of the network; output classes and words in each of the smallest one; streams that run side by side, and steps of a window.
-HIDDEN, CLASSES, PER_CLASS, STREAMS, STEPS = 24, 24, 32, 1024, 16
-#: The smallest vocabulary, and how often a word occurs in training to have its own outcome: the vocabulary grows with the corpus.
-VOCABULARY, LEAST = CLASSES * PER_CLASS, 100
-UNKNOWN, END = 0, 1
-#: Frequent words (and all of the network's) whose counts go to every task; all others are counted in a shuffle.
-FREQUENT = 1 << 16
-#: Documents of the common start of all tasks' training; tasks, or bytes, whose weights are averaged at a time.
-WARM, FAN_IN, FAN_BYTES, RATE = 2000, 16, 1 << 26, 0.004
-
-
-def _shape(n: int) -> tuple[int, int]:
-    """Classes, and words in each, for n outcomes or some more."""
-    side = math.isqrt(max(n, 1) - 1) + 1
-    return (CLASSES, PER_CLASS) if n <= VOCABULARY else (-(-n // side), side)
-
-
-class Network:
-    """h' = (1 - z) h + z tanh(a + U(r h)) with gates z and r; P(word) = P(class) P(word within its class)."""
-
-    def __init__(self, counts: np.ndarray | None = None, weights: list[np.ndarray] | None = None) -> None:
-        if weights is None:
-            rng, h = np.random.default_rng(7), HIDDEN
-            normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-            classes, per = _shape(len(counts))
-            share = ((counts + 1.0) / (counts + 1.0).sum()).reshape(classes, per)
-            weights = [normal(len(counts) + 1, 3 * h), normal(h, 2 * h), normal(h, h), normal(h, classes), np.log(share.sum(axis=1)).astype(np.float32), normal(classes, h, per), np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)]
-        self.weights = weights
-        #: The id given before a document's first word.
-        self.start = len(weights[0]) - 1
-        self.moments: list | None = None
-        self.t = 0
-
-    def run(self, h: np.ndarray, given: np.ndarray, fresh: np.ndarray, target: np.ndarray, real: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
-        """A window of (streams, steps): the last state, and the natural log-probability of each target. fresh: a document starts here."""
-        table_, gates, own, cw, cb, ww, wb = self.weights
-        n, steps, k = *given.shape, HIDDEN
-        classes, per = len(ww), ww.shape[2]
-        a, kept, states = table_[given], [], np.empty((steps, n, k), np.float32)
-        for t in range(steps):
-            old = np.where(fresh[:, t, None], np.float32(0), h)
-            g = 1 / (1 + np.exp(-(a[:, t, : 2 * k] + old @ gates)))
-            z, r = g[:, :k], g[:, k:]
-            c = np.tanh(a[:, t, 2 * k :] + (r * old) @ own)
-            h = old + z * (c - old)
-            states[t] = h
-            if learn:
-                kept.append((old, g, c))
-        flat, y = states.reshape(-1, k), target.T.ravel()
-        alive = np.flatnonzero(real.T.ravel())
-        order = alive[np.argsort(y[alive] // per, kind="stable")]
-        x, y = flat[order], y[order]
-        cls, word = y // per, y % per
-        rows = np.arange(len(y))
-        p = x @ cw + cb
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        score = np.log(p[rows, cls])
-        ends = np.searchsorted(cls, np.arange(classes + 1))
-        dx = np.zeros_like(x)
-        dww, dwb = (np.zeros_like(ww), np.zeros_like(wb)) if learn else (None, None)
-        met = np.flatnonzero(np.diff(ends))
-        for i in met:
-            s = slice(ends[i], ends[i + 1])
-            q = x[s] @ ww[i] + wb[i]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            own_rows = np.arange(s.stop - s.start)
-            score[s] += np.log(np.maximum(q[own_rows, word[s]], 1e-37))
-            if learn:
-                q[own_rows, word[s]] -= 1
-                dww[i], dwb[i] = x[s].T @ q, q.sum(axis=0)
-                dx[s] = q @ ww[i].T
-        out = np.zeros(n * steps, np.float32)
-        out[order] = score
-        if learn and len(order):
-            p[rows, cls] -= 1
-            dx += p @ cw.T
-            self._back(kept, given, fresh, order, dx, [None, None, None, x.T @ p, p.sum(axis=0), dww[met], dwb[met]], met, n, steps)
-        return h, out.reshape(steps, n).T
-
-    def _back(self, kept: list, given: np.ndarray, fresh: np.ndarray, order: np.ndarray, dx: np.ndarray, grads: list, met: np.ndarray, n: int, steps: int) -> None:
-        """Backward through the window's steps, and one step of Adam: of words' rows and classes (met), only those in the window."""
-        table_, gates, own, *_ = self.weights
-        k = HIDDEN
-        every = np.zeros((steps * n, k), np.float32)
-        every[order] = dx
-        every = every.reshape(steps, n, k)
-        dgates, down, da, dh = np.zeros_like(gates), np.zeros_like(own), np.empty((steps, n, 3 * k), np.float32), np.zeros((n, k), np.float32)
-        for t in range(steps - 1, -1, -1):
-            old, g, c = kept[t]
-            z, r = g[:, :k], g[:, k:]
-            dh = dh + every[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ own.T
-            down += (r * old).T @ dc
-            dg = np.concatenate([dh * (c - old), drh * old], axis=1) * g * (1 - g)
-            dgates += old.T @ dg
-            da[t, :, : 2 * k], da[t, :, 2 * k :] = dg, dc
-            dh = dh * (1 - z) + drh * r + dg @ gates.T
-            dh[fresh[:, t]] = 0
-        ids, rows = given.T.ravel(), da.reshape(-1, 3 * k)
-        o = np.argsort(ids, kind="stable")
-        first = np.concatenate([[0], np.flatnonzero(np.diff(ids[o])) + 1])
-        grads[:3] = [np.add.reduceat(rows[o], first, axis=0), dgates, down]
-        whole = slice(None)
-        touched = [ids[o][first], whole, whole, whole, whole, met, met]
-        scale = np.float32(1 / len(order))
-        if self.moments is None:
-            self.moments = [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights]
-        self.t += 1
-        rate = np.float32(RATE * np.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t))
-        for w, g, at, (m, v) in zip(self.weights, grads, touched, self.moments, strict=True):
-            g = g * scale
-            m[at] = np.float32(0.9) * m[at] + np.float32(0.1) * g
-            v[at] = np.float32(0.995) * v[at] + np.float32(0.005) * g * g
-            w[at] -= rate * m[at] / (np.sqrt(v[at]) + np.float32(1e-7))
-
-
-def taught(net: Network, docs: list[np.ndarray]) -> None:
-    """One pass of truncated backpropagation: the documents (ids, END last) one after another, cut into streams of equal length."""
-    if not docs:
-        return
-    target = np.concatenate(docs)
-    given = np.concatenate([[net.start], target[:-1]]).astype(np.int32)
-    first = np.cumsum([0] + [len(d) for d in docs[:-1]])
-    given[first] = net.start
-    fresh = np.zeros(len(target), bool)
-    fresh[first] = True
-    n = max(1, min(STREAMS, len(target) // STEPS))
-    steps = -(-len(target) // n)
-    real = np.arange(n * steps).reshape(n, steps) < len(target)
-    target, given, fresh = (np.pad(x, (0, n * steps - len(x))).reshape(n, steps) for x in (target, given, fresh))
-    h = np.zeros((n, HIDDEN), np.float32)
-    for at in range(0, steps, STEPS):
-        w = slice(at, at + STEPS)
-        h, _ = net.run(h, given[:, w], fresh[:, w], target[:, w], real[:, w], True)
-
-
-def scored(net: Network, docs: list[np.ndarray]) -> np.ndarray:
-    """Each document's (ids, END last) log-probability, natural. The state goes from window to window and starts anew with each document."""
-    if not docs:
-        return np.zeros(0)
-    # documents fill streams evenly, longest first; streams run side by side, those that have ended drop out
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    n = min(STREAMS, len(docs))
-    fill, streams = np.zeros(n, np.int64), [[] for _ in range(n)]
-    for start in range(0, len(order), n):
-        at = np.argsort(fill, kind="stable")
-        for s, d in zip(at, order[start : start + n], strict=False):
-            streams[s].append(d)
-            fill[s] += len(docs[d])
-    by = np.argsort(-fill, kind="stable")
-    fill, line = fill[by], [d for s in by for d in streams[s]]
-    # stream after stream in flat arrays, so that memory follows the tokens, not the longest stream
-    target = np.concatenate([docs[d] for d in line])
-    first = np.cumsum([0] + [len(docs[d]) for d in line[:-1]])
-    given, fresh = np.concatenate([[net.start], target[:-1]]).astype(np.int32), np.zeros(len(target), bool)
-    given[first], fresh[first] = net.start, True
-    begin = np.concatenate([[0], np.cumsum(fill)[:-1]])
-    scores, h = np.zeros(len(target), np.float32), np.zeros((n, HIDDEN), np.float32)
-    for at in range(0, int(fill[0]), STEPS):
-        m, step = int((fill > at).sum()), np.arange(at, min(int(fill[0]), at + STEPS))
-        real = step[None, :] < fill[:m, None]
-        place = np.where(real, begin[:m, None] + step, begin[:m, None])
-        h, score = net.run(h[:m], given[place], fresh[place] & real, target[place], real, False)
-        scores[place[real]] = score[real]
-    total = np.zeros(len(docs))
-    total[line] = np.add.reduceat(scores.astype(np.float64), first)
-    return total
-
-
-_SEEN: dict = {}
-
-
-def _known(listed) -> dict[bytes, int]:
-    """The frequent words' ranks, from a broadcast; built once per worker process."""
-    if _SEEN.get("of") is not listed.value:
-        _SEEN.update(of=listed.value, rank={w: i for i, w in enumerate(listed.value)})
-    return _SEEN["rank"]
-
-
-def _ranks(text: str | None, rank: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
-    """The rank of each word, -1 for those that aren't frequent; and the words."""
-    w = words(text)
-    get = rank.get
-    return np.fromiter((get(x, -1) for x in w), np.int32, len(w)), w
-
-
-def _ids(r: np.ndarray, size: int) -> np.ndarray:
-    """Ranks as the ids of a network of that vocabulary, END last."""
-    return np.append(np.where((r >= 0) & (r < size - 2), r + 2, UNKNOWN), END).astype(np.int32)
+from lexigrid.llm.common import released, table, written
+from lexigrid.llm.recurrent import END, UNKNOWN, Network, scored, shapes, taught
+
+#: The network's outcomes: LEAST of them, and GROWTH * tokens ** POWER where that is more.
+LEAST, GROWTH, POWER = 768, 6, 0.4
+#: Frequent words (and all of the network's) are looked up in a list that every task has, of words of LONGEST bytes at most; all others are joined.
+FREQUENT, LONGEST = 1 << 18, 64
+#: Training tokens of a shard: SHARD, or PER_OUTCOME for each outcome, so that weights stay small beside what they are learnt from.
+SHARD, PER_OUTCOME = 1 << 20, 512
+#: Tokens of the common start; tokens that are trained, or scored, at a time.
+WARM, CHUNK, FLUSH = 1 << 20, 1 << 18, 1 << 21
+#: Shards whose weights are averaged at a time, and bytes of weights in a row.
+FAN_IN, PIECE = 16, 1 << 20
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, with A-Z in lower case, and where each text's begin (and the end). Null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, edges = lists.flatten(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+    full = np.asarray(pc.binary_length(flat)) > 0  # blanks at a text's ends give empty strings
+    return flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[edges]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's words with their counts; a word can come more than once."""
-    rows = lambda seen: pa.record_batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-    seen: Counter = Counter()
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    held, rows = [], 0
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            seen.update(words(text))
-        if len(seen) > 8 * FREQUENT:
-            yield rows(seen)
-            seen = Counter()
-    yield rows(seen)
+        counts = _split(batch.column("text"))[0].value_counts()
+        held.append(pa.table({"word": counts.field("values").cast(pa.binary()), "n": counts.field("counts")}))
+        rows += len(counts)
+        if rows > 1 << 20:
+            held = [merged()]
+            rows = held[0].num_rows
+            if rows > 1 << 19:
+                yield from held[0].cast(schema).to_batches(1 << 16)
+                held, rows = [], 0
+    if held:
+        yield from merged().cast(schema).to_batches(1 << 16)
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and counts -> one row: the words in the order of falling counts and their counts, as an Arrow stream."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    got = pa.concat_tables([schema.empty_table(), *(pa.table(b.columns, schema) for b in batches)])
+    got = got.sort_by([("n", "descending"), ("word", "ascending")])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as out:
+        out.write_table(got)
+    yield pa.record_batch({"blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _listed(blob: bytes) -> tuple[pa.Array, np.ndarray]:
+    got = pa.ipc.open_stream(blob).read_all().combine_chunks()
+    words = got["word"].combine_chunks() if got.num_rows else pa.array([], pa.binary())
+    return words.view(pa.string()), np.asarray(got["n"], np.int64)
+
+
+def frequent(found: DataFrame) -> bytes:
+    """The most frequent words of found (word binary, n long) and their counts: FREQUENT at most, all of a count or none."""
+    short = found.where(F.length("word") <= LONGEST)
+    # exact counts, and parts of an octave beyond: so few groups that the driver can hold them
+    cell = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2("n") * 64)).cast("long")
+    cells = sorted(((r[0], r[1]) for r in short.groupBy(cell.alias("c")).count().collect()), reverse=True)
+    total, least = 0, None
+    for c, n in cells:
+        if (total := total + n) > FREQUENT:
+            break
+        least = c
+    some = short.where(cell >= least) if least is not None else short.where("false")
+    row = some.repartition(1).mapInArrow(_list, "blob binary").first()
+    return bytes(row["blob"]) if row else next(_list(iter([])))["blob"][0].as_py()
+
+
+def _ids(blob, size: int):
+    """Documents -> the network's ids of each (END last, little-endian int32), what is known of the words outside it, and rare words' hashes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = _listed(blob.value)
+        log = np.log10(counts + 1.0)
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            flat, edges = _split(batch.column("text"))
+            rank = np.asarray(pc.fill_null(pc.index_in(flat, words), -1))
+            n = len(edges) - 1
+            doc = np.repeat(np.arange(n), np.diff(edges))
+            common, outside = rank >= 0, (rank >= size - 2) | (rank < 0)
+            logs = np.where(common, log[rank] if len(log) else 0.0, 0.0)
+            ids = np.empty(len(rank) + n, "<i4")
+            ends = edges[1:] + np.arange(n)
+            ids[ends] = END
+            ids[np.delete(np.arange(len(ids)), ends)] = np.where(outside, UNKNOWN, rank + 2)
+            rare = np.flatnonzero(~common)
+            hashes = [xxhash.xxh64_intdigest(w, 42) for w in flat.take(pa.array(rare)).cast(pa.binary()).to_pylist()]
+            hashes = pa.array(np.array(hashes, np.uint64).view(np.int64))
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * np.concatenate([[0], ends + 1])).astype(np.int32)), pa.py_buffer(ids)])
+            per = lambda x: np.bincount(doc, weights=x, minlength=n)
+            whole = lambda x: pa.array(per(x).astype(np.int64))
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "held_out": batch.column("held_out"),
+                "row": pa.array((part << 33) + nth + np.arange(n)),
+                "n_tokens": pa.array(np.diff(edges) + 1),
+                "n_common": whole(common),
+                "log_common": pa.array(per(logs)),
+                "log_outside": pa.array(per(np.where(outside, logs, 0.0))),
+                "n_outside": whole(outside),
+                "ids": blobs,
+                "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, edges).astype(np.int32)), hashes),
+            }
+            nth += n
+            yield pa.record_batch(columns)
+
+    return rows
 
 
-def _train(listed, start: list[np.ndarray] | None, approximate: np.ndarray):
-    """Training documents -> the task's weights (kind 0, in parts by key) with its tokens, and its counts of frequent words (kind 1)."""
+FACTS = "row long, n_tokens long, n_common long, log_common double, log_outside double, n_outside long, ids binary, rare array<long>"
+
+
+def _docs(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<i4") for x in column]
+
+
+def _train(start, counts: np.ndarray | None):
+    """A shard's training documents -> its weights, in pieces, with its tokens. start: a broadcast of weights, or None for those that counts give."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = _known(listed)
-        net = Network(approximate, [w.copy() for w in start] if start else None)
-        counts, tokens, docs = np.zeros(len(rank), np.int64), 0, 0
+        net = Network(counts) if start is None else Network(weights=_unpacked(start.value))
+        chunk, tokens, n = [], 0, 0
         for batch in batches:
-            some, met = [], [np.zeros(0, np.int32)]
-            for text in batch.column("text").to_pylist():
-                r, _ = _ranks(text, rank)
-                met.append(r[r >= 0])
-                some.append(_ids(r, net.start))
-                tokens += len(some[-1])
-                docs += 1
-            counts += np.bincount(np.concatenate(met), minlength=len(rank))
-            taught(net, some)
-        if docs:
-            part = TaskContext.get().partitionId()
-            blob = np.concatenate([w.ravel() for w in net.weights]).astype("<f4").tobytes()
-            met = np.flatnonzero(counts)
-            yield pa.record_batch({"kind": pa.array([0] + [1] * len(met), pa.int32()), "key": pa.array(np.concatenate([[part], met]), pa.int64()), "n": pa.array(np.concatenate([[tokens], counts[met]]), pa.int64()), "blob": pa.array([blob] + [None] * len(met), pa.binary())})
+            for d in _docs(batch.column("ids")):
+                chunk.append(d.copy())
+                n += len(d)
+                if n >= CHUNK:
+                    taught(net, chunk)
+                    chunk, tokens, n = [], tokens + n, 0
+        taught(net, chunk)
+        if tokens + n:
+            part, flat = TaskContext.get().partitionId(), np.concatenate([w.ravel() for w in net.weights]).astype("<f4").tobytes()
+            for k in range(0, len(flat), PIECE):
+                yield pa.record_batch({"node": [part], "piece": [k // PIECE], "n": [tokens + n], "blob": pa.array([flat[k : k + PIECE]], pa.binary())})
 
     return rows
 
 
-def _shaped(blob: bytes, size: int) -> list[np.ndarray]:
-    flat, out = np.frombuffer(blob, "<f4"), []
-    for w in Network(np.zeros(size)).weights:
-        out.append(flat[: w.size].reshape(w.shape).copy())
-        flat = flat[w.size :]
+def _unpacked(blob: tuple[int, bytes]) -> list[np.ndarray]:
+    """The weights of a network of so many outcomes from their bytes."""
+    size, flat = blob[0], np.frombuffer(blob[1], "<f4")
+    out = []
+    for s in shapes(size):
+        n = int(np.prod(s))
+        out.append(flat[:n].reshape(s).copy())
+        flat = flat[n:]
     return out
 
 
 def _mean(part: pa.Table) -> pa.Table:
+    part = part.sort_by("node")
     n = np.asarray(part["n"], np.float64)
     total = sum(np.frombuffer(b.as_py(), "<f4").astype(np.float64) * x for b, x in zip(part["blob"], n, strict=True))
-    return pa.table({"node": pa.array([part["node"][0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "blob": pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())})
+    mean = pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())
+    first = [pa.array([part[c][0].as_py()], pa.int64()) for c in ("to", "piece")]
+    return pa.table([*first, pa.array([int(n.sum())], pa.int64()), mean], names=["node", "piece", "n", "blob"])
 
 
-def _score(listed, weights: list[np.ndarray], counts: np.ndarray, n_docs: int):
-    """All documents -> what is known of them without the rare words, whose hashes and numbers go along."""
+def _score(weights):
+    """Documents, those of like lengths together -> the natural log-probability of each one's ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, net = _known(listed), Network(weights=weights)
-        log, end = np.log10(counts + 1.0), float(np.log10(n_docs + 1.0))
-        part, nth = TaskContext.get().partitionId(), 0
+        net = Network(weights=_unpacked(weights.value))
         for batch in batches:
-            some, cols = [], [[] for _ in range(8)]
-            for text in batch.column("text").to_pylist():
-                r, w = _ranks(text, rank)
-                some.append(_ids(r, net.start))
-                common = r[r >= 0]
-                rare = Counter([w[i] for i in np.flatnonzero(r < 0)])
-                outside = common[common >= net.start - 2]
-                values = ((part << 33) + nth, len(w) + 1, int((counts[common] > 0).sum()) + (n_docs > 0), float(log[common].sum()) + end, float(log[outside].sum()), len(outside) + len(w) - len(common), [_hash(x) for x in rare], list(rare.values()))
-                nth += 1
-                for c, v in zip(cols, values, strict=True):
-                    c.append(v)
-            p = scored(net, some) / np.log(10)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(p, pa.float64())], names=["doc_id", "held_out", *STATS.replace(",", "").split()[::2]])
+            docs = _docs(batch.column("ids"))
+            ends = np.cumsum([len(d) for d in docs])
+            cuts = np.searchsorted(ends, np.arange(FLUSH, ends[-1] + FLUSH, FLUSH)) + 1 if len(docs) else []
+            p, at = [], 0
+            for cut in np.unique(np.minimum(cuts, len(docs))).tolist():
+                p.append(scored(net, docs[at:cut]))
+                at = cut
+            yield batch.drop_columns(["ids"]).append_column("net", pa.array(np.concatenate([np.zeros(0), *p])))
 
     return rows
 
 
-STATS = "row long, n_tokens long, n_common long, log_common double, log_outside double, n_outside long, rare array<long>, times array<int>, net double"
+def _pieces(rows: DataFrame) -> bytes:
+    return b"".join(bytes(r["blob"]) for r in rows.orderBy("piece").select("blob").collect())
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
+def learnt(rows: DataFrame, size: int, counts: np.ndarray, tokens: int):
+    """A broadcast of the network's (size, weights) after one pass over the training rows (doc_id, n_tokens, ids).
 
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+    Rows are dealt to shards by a hash, in order of it within a shard: what is learnt does not depend on how the table is split. Every
+    shard goes on from a common start, learnt in one task from some WARM tokens (the lowest part of the hash's range, without texts of
+    an eighth of that; all rows train in their shard). The shards' weights are averaged by tokens in a tree, piece by piece, so that no task holds more than FAN_IN pieces. One network is what the driver gets.
+    """
+    context = rows.sparkSession.sparkContext
+    schema = "node long, piece long, n long, blob binary"
+    # copies without a doc_id are told apart by where they stand, so that no shard gets them all
+    at = F.xxhash64("doc_id", "ids", F.when(F.col("doc_id").isNull(), F.col("row")))
+    rows = rows.select("n_tokens", "ids", at.alias("at"))
+    share = min(1.0, WARM / max(1, tokens))
+    warm = rows.where((F.col("n_tokens") <= WARM // 8) & (F.col("at") / F.lit(2.0**64) + 0.5 <= share)).dropDuplicates(["at"])
+    warm = warm.select("at", "ids").repartition(1).sortWithinPartitions("at").mapInArrow(released(_train(None, counts)), schema)
+    plain = np.concatenate([w.ravel() for w in Network(counts).weights]).astype("<f4").tobytes()
+    start = context.broadcast((size, _pieces(warm) or plain))
+    shards = max(1, round(tokens / max(SHARD, PER_OUTCOME * size)))
+    dealt = rows.repartition(shards, "at").sortWithinPartitions("at").select("ids")
+    parts = written(dealt.mapInArrow(released(_train(start, None)), schema), "lm-train")
+    width = (parts.agg(F.max("node")).first()[0] or 0) + 1
+    while width > 1:
+        parts = parts.withColumn("to", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("to", "piece").applyInArrow(_mean, schema)
+        width = -(-width // FAN_IN)
+    return context.broadcast((size, _pieces(parts) or start.value[1]))
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt where held_out is not true.
 
     Tokens are words and one end per document, also of an empty or null text. base_score: add-one unigrams with exact counts of all
-    training tokens. score: the network's log10 probability of the whole text; a word outside its vocabulary has the
-    network's probability of an unknown word times its own add-one share among these, so that both scores are of one set of outcomes.
-    All training documents train the network: every task goes on from a common start over its own documents, and the
-    tasks' weights are averaged by tokens in a tree. Without training documents the weights are the initial ones and N is 0. Rows that repeat
-    count and are scored each.
+    training tokens (up to 64-bit hashes of rare words). score: the network's log10 probability of the whole text; a word outside its
+    vocabulary, which grows with the training tokens, has the network's probability of an unknown word times its own add-one share
+    among these, so that both scores are of one set of outcomes.
+    All training documents train the network. Without any the weights are the initial ones and N is 0; an empty table gives no rows. Rows
+    that repeat count and are scored each; ties, and other columns whatever their names, play no part.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     all_ = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    train = all_.where("not held_out").select("doc_id", "text")
-    found = written(train.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    size = math.prod(_shape(found.where(F.col("n") >= LEAST).count() + 2))
-    top = found.orderBy(F.desc("n"), "word").limit(max(FREQUENT, size)).collect()
-    listed = spark.sparkContext.broadcast([bytes(r["word"]) for r in top])  # FREQUENT words, or the network's
-    rough = np.zeros(size)
-    some = [r["n"] for r in top]
-    rough[2 : 2 + min(len(some), size - 2)] = some[: size - 2]
-    rough[UNKNOWN], rough[END] = sum(some[size - 2 :]) + 1, max(1, sum(some) // 400)
-    schema = "kind int, key long, n long, blob binary"
-    ids = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM)
-    warm = train.join(F.broadcast(ids), "doc_id").select("text").repartition(1).mapInArrow(_train(listed, None, rough), schema).where("kind = 0").select("blob").collect()
-    start = _shaped(bytes(warm[0]["blob"]), size) if warm else None
-    tasks = 2 * spark.sparkContext.defaultParallelism  # not one for each split: every task gives a whole network
-    parts = written(train.select("text").coalesce(tasks).mapInArrow(_train(listed, start, rough), schema), "lm-train")
-    counts = np.zeros(len(some), np.int64)
-    for r in parts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # as many rows as listed
-        counts[r["key"]] = r["n"]
-    nodes = parts.where("kind = 0").select(F.col("key").alias("node"), "n", "blob")
-    width = (nodes.agg(F.max("node")).first()[0] or 0) + 1  # a node is a task's number
-    fan = max(2, min(FAN_IN, FAN_BYTES // (16 * HIDDEN * size)))
-    while width > 1:
-        nodes = nodes.withColumn("node", F.floor(F.col("node") / fan).cast("long")).groupBy("node").applyInArrow(_mean, "node long, n long, blob binary")
-        width = -(-width // fan)
-    final = nodes.select("blob").collect()
-    weights = _shaped(bytes(final[0]["blob"]), size) if final else Network(rough).weights
+    train = all_.where("not held_out")
+    found = train.select("text").mapInArrow(released(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = written(found, "lm-words")
     n_docs = train.count()
-    rows = written(all_.mapInArrow(_score(listed, weights, counts, n_docs), f"doc_id {dict(all_.dtypes)['doc_id']}, held_out boolean, {STATS}"), "lm-rows")
-    one = F.explode(F.arrays_zip("rare", "times")).alias("x")
-    rare = rows.select("row", (~F.col("held_out")).alias("trains"), one).select("row", "trains", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    every = Window.partitionBy("h").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = F.coalesce(F.sum(F.when(F.col("trains"), F.col("times"))).over(every), F.lit(0))
-    rare = rare.select("row", "times", c.alias("c"), (F.row_number().over(Window.partitionBy("h").orderBy("row")) == 1).alias("new"))
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rare"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum((F.col("new") & (F.col("c") > 0)).cast("long")).alias("kinds"))
-    rare = written(rare, "lm-rare")
-    n = rows.where("not held_out").agg(F.sum("n_tokens")).first()[0] or 0
-    v = int((counts > 0).sum()) + (n_docs > 0) + (rare.agg(F.sum("kinds")).first()[0] or 0)
+    words, kinds = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n, v = words + n_docs, kinds + (n_docs > 0)
+    blob = frequent(found)
+    counts = _listed(blob)[1]
+    size = min(max(LEAST, int(GROWTH * n**POWER)), max(LEAST, len(counts) + 2))
     inside = counts[: size - 2]
-    outside = (n - int(inside.sum()) - n_docs) + (v - int((inside > 0).sum()) - (n_docs > 0)) + 1
-    out = rows.join(rare, "row", "left").withColumn("log_rare", F.coalesce("log_rare", F.lit(0.0)))
+    rough = np.zeros(size)
+    rough[2 : 2 + len(inside)] = inside
+    rough[UNKNOWN], rough[END] = words - int(inside.sum()), n_docs
+    listed = context.broadcast(blob)
+    rows = written(all_.mapInArrow(released(_ids(listed, size)), f"doc_id {dict(all_.dtypes)['doc_id']}, held_out boolean, {FACTS}"), "lm-ids")
+    weights = learnt(rows.where("not held_out"), size, rough, n)
+    facts = rows.drop("rare")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in facts.drop("ids").schema) + ", net double"
+    net = facts.sortWithinPartitions(F.col("n_tokens").desc()).mapInArrow(released(_score(weights)), schema)
+    # the few words not in the list: their counts by a join, summed for each row
+    least = F.length("word") > LONGEST if len(counts) else F.lit(True)
+    if len(counts):
+        least = least | (F.col("n") < int(counts[-1]))
+    others = found.where(least).select(F.xxhash64("word").alias("h"), "n")
+    rare = rows.select("row", F.explode("rare").alias("h")).join(others, "h").groupBy("row")
+    rare = rare.agg(F.sum(F.log10(F.col("n") + 1)).alias("log_rare"), F.count("*").alias("n_rare"))
+    outside = (words - int(inside.sum())) + (kinds - len(inside)) + 1
+    known = F.lit(1 if n_docs else 0)
+    out = net.join(rare, "row", "left").withColumn("log_rare", F.coalesce("log_rare", F.lit(0.0)))
+    end = float(np.log10(n_docs + 1.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + known).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_common") + F.col("log_rare") - F.col("n_tokens") * float(np.log10(n + v + 1.0))).alias("base_score"),
-        (F.col("net") + F.col("log_outside") + F.col("log_rare") - F.col("n_outside") * float(np.log10(max(1, outside)))).alias("score"),
+        (F.col("log_common") + end + F.col("log_rare") - F.col("n_tokens") * float(np.log10(n + v + 1.0))).alias("base_score"),
+        (F.col("net") / float(np.log(10)) + F.col("log_outside") + F.col("log_rare") - F.col("n_outside") * float(np.log10(max(1, outside)))).alias("score"),
     )
 
 

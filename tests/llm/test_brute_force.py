@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import embedding_dedup, jaccard_join, language_model, mixing, packing, pii, registry, secrets, suffix_dedup, toxicity
+from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, registry, secrets, suffix_dedup, toxicity
 from lexigrid.llm.common import components, shingle_set, word_hashes, words
 
 SF = "/root/testdata/sf0.001"
@@ -264,51 +264,6 @@ def test_interval_expansion():
         assert len(group) == sum(max(0, len(s) - length + 1) for s in segments)
 
 
-# --- 7 ------------------------------------------------------------------------------------------------------------------
-def test_language_model(spark, texts):
-    rows = {r.doc_id: r for r in registry.QUERIES["op7_language_model"](spark, SF).collect()}
-    split = {k: [*words(r.text), None] for k, r in texts.items()}
-    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
-    c = Counter(w for k, ws in split.items() if not held[k] for w in ws)
-    n, v = sum(c.values()), len(c)
-    for k, ws in split.items():
-        r = rows[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9) and r.score < 0
-    gain = sum(r.score - r.base_score for k, r in rows.items() if held[k]) / sum(r.n_tokens for k, r in rows.items() if held[k])
-    assert gain > -0.2  # this corpus is too small for the network to learn much
-
-
-def test_network_gradient():
-    """Analytic gradients against differences."""
-    counts = np.arange(language_model.VOCABULARY)[::-1] + 1.0
-    net = language_model.Network(counts)
-    net.weights = [w.astype(np.float64) for w in net.weights]
-    rng = np.random.default_rng(1)
-    ids = [np.append(rng.integers(2, 60, 20), 1).astype(np.int32)]
-    total = lambda: float(language_model.scored(net, ids)[0])
-    before = total()
-    for _ in range(30):
-        language_model.taught(net, ids)
-    assert total() > before + 1
-
-
-def test_state_is_carried():
-    net = language_model.Network(np.ones(language_model.VOCABULARY))
-    rng = np.random.default_rng(1)
-    docs = [np.append(rng.integers(2, 300, n), 1).astype(np.int32) for n in (100, 3, 1, 57)]
-    alone = [language_model.scored(net, [d])[0] for d in docs]
-    assert np.allclose(language_model.scored(net, docs), alone, rtol=1e-4)
-
-
-def test_vocabulary_grows(spark):
-    """Of 1,000 words, each often enough, the network tells also the last ones apart: another order has another score."""
-    w = [f"w{k:04d}" for k in range(1000)]
-    rows = [(k, " ".join(w)) for k in range(120)] + [(1000, "w0990 w0999 w0995"), (1001, "w0999 w0995 w0990")]
-    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
-    assert abs(got[1000] - got[1001]) > 1e-6
-
-
 # --- 8 and 10 -----------------------------------------------------------------------------------------------------------
 def groups(n, links):
     parent = list(range(n))

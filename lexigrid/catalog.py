@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.plans import table_queries, text_queries
+from lexigrid.plans import io_queries, table_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES}
-SQL: dict = {**text_queries.SQL, **table_queries.SQL}
+QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES, **io_queries.QUERIES}
+SQL: dict = {**text_queries.SQL, **table_queries.SQL, **io_queries.SQL}

@@ -45,6 +45,22 @@ class Analyzer:
         return out.where(F.col("term").isin(only)) if only is not None and self.stemmer else out
 
 
+def counted(docs: DataFrame, analyzer: Analyzer, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., term, df, cf): rows to be summed, one (1, 0) for each distinct term of a document and one (0, 1) for each token. So the
+    document frequency needs no shuffle by document."""
+    all_ = analyzer.tokens(*[F.col(f) for f in fields])
+    row = lambda df, cf: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
+    both = F.flatten(F.transform(F.array(all_), lambda a: F.concat(F.transform(F.array_distinct(a), row(1, 0)), F.transform(a, row(0, 1)))))
+    out = docs.select(*keep, F.explode(both).alias("x")).select(*keep, "x.term", "x.df", "x.cf")
+    return stemmed(out) if analyzer.stemmer else out
+
+
+def once(docs: DataFrame, analyzer: Analyzer, *fields: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., term): each distinct term of a document once."""
+    out = docs.select(*keep, F.explode(F.array_distinct(analyzer.tokens(*[F.col(f) for f in fields]))).alias("term"))
+    return stemmed(out).distinct() if analyzer.stemmer else out
+
+
 @F.pandas_udf(T.StringType())
 def porter_udf(terms: pd.Series) -> pd.Series:
     return terms.map(porter)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.stem import porter
 from lexigrid.functions.text import Analyzer
+from lexigrid.storage import written
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,11 @@ def leaves(node: Node) -> list[str]:
     return list(node.words) + [w for c in node.children for w in leaves(c)]
 
 
+def scans(node: Node) -> int:
+    """How many times an answer reads the tokens."""
+    return sum(map(scans, node.children)) + (len(node.words) if node.kind == "phrase" else node.kind in ("term", "near"))
+
+
 class Search:
     """Answers queries over a table of documents. Only tokens of a query's own terms are ever made into rows."""
 
@@ -97,7 +103,9 @@ class Search:
 
     def _term(self, word: str) -> list[str]:
         """A query word as the analyzer has it: its pieces, none if it is a stop word."""
-        pieces = re.findall(self.analyzer.pattern.removeprefix("(?U)"), word)
+        # a pattern without (?U) means ASCII classes on the index side, as Java has it
+        unicode, pattern = self.analyzer.pattern.startswith("(?U)"), self.analyzer.pattern.removeprefix("(?U)")
+        pieces = re.findall(pattern, word, 0 if unicode else re.ASCII)
         pieces = [p.lower() for p in pieces] if self.analyzer.lower else pieces
         pieces = [p for p in pieces if p not in self.analyzer.stop]
         return [porter(p) for p in pieces] if self.analyzer.stemmer else pieces
@@ -107,6 +115,8 @@ class Search:
         tree = parse(query) if isinstance(query, str) else query
         terms = sorted({t for w in leaves(tree) for t in self._term(w)})
         tokens = self.analyzer.explode(self.docs, *self.fields, only=terms)
+        if scans(tree) > 1:  # each leaf reads the query's own tokens, not the documents
+            tokens = written(tokens, "search")
         return self._eval(tree, tokens)
 
     def _eval(self, node: Node, tokens: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def sizes_from_index(freq: DataFrame) -> DataFrame:
 
 
 def contingency(freq: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(term, corpus, n11, n10, n01, n00) over the full grid of terms and corpora; freq (term, corpus, doc_id)."""
+    """(term, corpus, n11, n10, n01, n00) over the full grid of terms and corpora; freq (term, corpus), a row for each document that has the term."""
     df = freq.groupBy("term", "corpus").agg(F.count("*").alias("n"))
     per_term = df.groupBy("term").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("corpus", "n"))).alias("by"))
     total = sizes.agg(F.sum("n_docs").alias("total"))
@@ -77,5 +77,9 @@ def top_topic(mass: DataFrame) -> DataFrame:
 
 
 def topic_words(model, vocabulary: list[str], k: int = 10) -> DataFrame:
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    return model.describeTopics(k).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "x")).select("topic", (F.col("pos") + 1).alias("rank"), F.get(words, F.col("x.termIndices")).alias("term"), F.round("x.termWeights", 3).alias("score"))
+    """(topic, rank, term, score)."""
+    rows = model.describeTopics(k)
+    words = rows.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
+    rows = rows.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "x"))
+    rows = rows.select("topic", (F.col("pos") + 1).alias("rank"), F.col("x.termIndices").alias("i"), F.round("x.termWeights", 3).alias("score"))
+    return rows.join(words, "i").select("topic", "rank", "term", "score")

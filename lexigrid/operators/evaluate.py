@@ -21,7 +21,7 @@ def metrics(runs: DataFrame, qrels: DataFrame, strict: bool = False) -> DataFram
     grid = runs.select("system").distinct().crossJoin(F.broadcast(best))
     hits = runs.join(qrels, ["query", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0))).withColumn("hit", (F.col("rel") > 0).cast("int"))
     upto = Window.partitionBy("system", "query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("cum", F.sum("hit").over(upto)).join(F.broadcast(best.select("query", "r")), "query", "left")
+    hits = hits.withColumn("cum", F.sum("hit").over(upto)).join(best.select("query", "r"), "query", "left")
     total = lambda k, what: F.sum(F.when(F.col("rank") <= k, F.col(what)).otherwise(0))
     got = hits.groupBy("system", "query").agg(
         total(10, "hit").alias("h10"), total(50, "hit").alias("h50"), F.sum(F.when(F.col("rank") <= F.col("r"), F.col("hit")).otherwise(0)).alias("hr"),
@@ -63,6 +63,12 @@ def p_value(t: float, n: int) -> float:
     return t_cdf_two_sided(t, n - 1)
 
 
+def with_p(rows: DataFrame) -> DataFrame:
+    """paired()'s row with p, the two-sided p-value of its t. One row: the incomplete beta function has no built-in form."""
+    p = F.udf(lambda t, n: None if t is None or n < 2 else p_value(float(t), int(n)), "double")
+    return rows.withColumn("p", p("t", "n"))
+
+
 def scores(predictions: DataFrame, *by: str) -> DataFrame:
     """(by..., label, pred) -> precision, recall and F1 of each class, 0 where they aren't defined."""
     hit = F.col("label") == F.col("pred")
@@ -79,6 +85,15 @@ def macro(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.avg(c).alias(c) for c in "prf"])
 
 
+def report(predictions: DataFrame, classes: list[str], by: tuple[str, ...] = ("system", "split"), places: int = 3) -> DataFrame:
+    """(by..., p_<class>, r_<class>, f_<class>, ..., p_macro, r_macro, f_macro): a row per group; the classes are listed, so that columns are known."""
+    rows = scores(predictions.where(F.col("label").isin(classes) & F.col("pred").isin(classes)), *by)
+    grid = predictions.select(*by).distinct().withColumn("class", F.explode(F.array(*map(F.lit, classes))))
+    rows = grid.join(rows, [*by, "class"], "left").fillna(0.0, ["p", "r", "f"])
+    own = [F.round(F.max(F.when(F.col("class") == c, F.col(m))), places).alias(f"{m}_{c}") for c in classes for m in "prf"]
+    return rows.groupBy(*by).agg(*own, *[F.round(F.avg(m), places).alias(f"{m}_macro") for m in "prf"])
+
+
 def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("label", "pred").agg(F.count("*").alias("n"))
 

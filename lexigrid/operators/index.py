@@ -25,10 +25,9 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term", "corpus", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def term_stats(tokens: DataFrame) -> DataFrame:
-    """Document and collection frequency of each term; two partial aggregations, no distinct."""
-    per_doc = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_stats(rows: DataFrame) -> DataFrame:
+    """Document and collection frequency of each term, from counted() rows; one partial aggregation."""
+    return rows.groupBy("term").agg(F.sum("df").cast("long").alias("df"), F.sum("cf").cast("long").alias("cf"))
 
 
 def frequent(tokens: DataFrame, least: int) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def balances(entries: DataFrame) -> DataFrame:
-    """(account, asset, balance, lowest, ever_negative) from (seq, account, asset, delta); amounts up to decimal(38, 0)."""
-    run = F.sum("delta").over(Window.partitionBy("account", "asset").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    """(account, asset, balance, lowest, ever_negative) from (seq, account, asset, delta); amounts up to decimal(38, 0). Of one seq, what is taken comes first."""
+    run = F.sum("delta").over(Window.partitionBy("account", "asset").orderBy("seq", "delta").rowsBetween(Window.unboundedPreceding, 0))
     rows = entries.withColumn("run", run)
     out = rows.groupBy("account", "asset").agg(F.sum("delta").alias("balance"), F.min("run").alias("lowest"))
     return out.withColumn("ever_negative", F.col("lowest") < 0)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.plans.shared import written
+from lexigrid.storage import written
 
 ENDS = ["ip_version", "lo_ip", "lo_port", "hi_ip", "hi_port"]
 
@@ -54,44 +53,37 @@ def prefix_rollup(packets: DataFrame, share: float = 0.05) -> DataFrame:
     """(net, plen, bytes): every prefix that keeps `share` of all bytes after its heavier sub-prefixes took theirs, and what is left at the root.
 
     Bottom-up over prefix lengths 32 .. 0, so that the order of packets doesn't matter: at each length a prefix with enough bytes is
-    given out, the others go on to the next shorter one. Eight lengths at a time are settled within a group that holds one row for
-    each of 256 sub-prefixes at most; sources are summed before.
+    given out, the others go on to the next shorter one. Rows are dealt by a prefix that eight lengths share, so these need no
+    shuffle among them; sources are summed before, and what is given out, 1 / share prefixes at most, goes along as a list.
     """
-    rows = written(packets.groupBy(F.col("src_ip").alias("net")).agg(F.sum("bytes").alias("bytes")), "rollup")
+    rows = written(packets.groupBy(F.col("src_ip").alias("net")).agg(F.sum("bytes").alias("bytes")).where("bytes > 0"), "rollup")
     least = share * (rows.agg(F.sum("bytes")).first()[0] or 0)
-    out = None
-    for top in (24, 16, 8, 0):
-        stage = rows.groupBy(F.shiftright("net", 32 - top).alias("key")).applyInPandas(_settle(top, least), "net long, plen int, bytes long, given boolean")
-        stage = written(stage, "rollup")
-        given = stage.where("given").select("net", "plen", "bytes")
-        out = given if out is None else out.unionByName(given)
-        rows = stage.where("not given").select("net", "bytes")
-    return out
-
-
-def _settle(top: int, least: float):
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out = dict(zip(rows["net"].tolist(), rows["bytes"].tolist(), strict=True)), []
-        for plen in range(top + 8, top, -1):
-            out += [(net, plen, n, True) for net, n in left.items() if n >= least and n > 0]
-            size, wider = 1 << (33 - plen), {}
-            for net, n in left.items():
-                if n < least or n <= 0:
-                    wider[net // size * size] = wider.get(net // size * size, 0) + n
-            left = wider
-        out += [(net, top, n, top == 0) for net, n in left.items() if n > 0]
-        return pd.DataFrame(out, columns=["net", "plen", "bytes", "given"])
-
-    return settle
+    one = lambda plen: F.struct(F.col("net"), F.lit(plen).alias("plen"), F.col("bytes"))
+    rows = rows.withColumn("given", F.lit(None).cast("array<struct<net:bigint,plen:int,bytes:bigint>>"))
+    for plen in range(32, 0, -1):
+        if plen % 8 == 0:
+            rows = rows.withColumn("key", F.shiftright("net", 40 - plen)).repartition("key")
+        heavy = (F.col("bytes") >= least) & (F.col("bytes") > 0)
+        also = F.concat(F.coalesce("given", F.array().cast(rows.schema["given"].dataType)), F.array(one(plen)))
+        rows = rows.withColumn("given", F.when(heavy, also).otherwise(F.col("given"))).withColumn("bytes", F.when(heavy, 0).otherwise(F.col("bytes")))
+        size = 1 << (33 - plen)
+        wider = (F.floor(F.col("net") / size) * size).cast("long").alias("net")
+        rows = rows.groupBy("key", wider).agg(F.sum("bytes").alias("bytes"), F.flatten(F.collect_list("given")).alias("given"))
+        rows = rows.withColumn("given", F.when(F.size("given") > 0, F.col("given")))
+    rest = F.when(F.col("bytes") > 0, F.array(one(0))).otherwise(F.array().cast(rows.schema["given"].dataType))
+    return rows.select(F.inline(F.concat(F.coalesce("given", F.array().cast(rows.schema["given"].dataType)), rest)))
 
 
 def allowed(packets: DataFrame) -> DataFrame:
-    """packets (seq, outbound, ...) with allowed: outbound TCP, and inbound TCP of a flow that sent outbound before; all that is no TCP over IPv4."""
-    mine = Window.partitionBy(*ENDS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    """packets (seq, outbound, ...) with allowed: outbound TCP, and inbound TCP of a flow that sent outbound before; all that is no TCP over IPv4.
+
+    A flow is known by its first outbound packet: a partial aggregation and a join, so that a flow of many packets is no hot key.
+    """
     rows = canonical(packets)
     ours = (F.col("ip_version") == 4) & (F.col("proto") == 6)
-    opened = F.coalesce(F.max(F.when(ours & F.col("outbound"), 1)).over(mine), F.lit(0)) == 1
-    return rows.withColumn("allowed", ~ours | F.col("outbound") | opened)
+    first = rows.where(ours & F.col("outbound")).groupBy(*ENDS).agg(F.min("seq").alias("__opened"))
+    rows = rows.join(first, ENDS, "left").withColumn("allowed", ~ours | F.col("outbound") | F.coalesce(F.col("__opened") < F.col("seq"), F.lit(False)))
+    return rows.select(*packets.columns, *ENDS[1:], "forward", "allowed")
 
 
 def syn(flags: Column) -> Column:

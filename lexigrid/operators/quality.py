@@ -27,13 +27,13 @@ def outside(df: DataFrame, column: str, domain: list) -> DataFrame:
     return df.where(~F.col(column).isin(domain) | F.col(column).isNull())
 
 
-def missing(df: DataFrame, **values: list) -> DataFrame:
-    """Combinations of the values that the table lacks."""
-    grid = None
-    for name, some in values.items():
-        one = df.sparkSession.createDataFrame([(v,) for v in some], [name])
-        grid = one if grid is None else grid.crossJoin(one)
-    return grid.join(df.select(*values).distinct(), list(values), "left_anti")
+def missing(df: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Rows of the grid of the sides (tables of distinct values, one column or more each) that df lacks. The grid itself is the question
+    asked; its sides are joined in Spark, the first as it is dealt and the others as the planner finds them small or not."""
+    grid = sides[0]
+    for s in sides[1:]:
+        grid = grid.crossJoin(s)
+    return grid.join(df.select(*grid.columns).distinct(), grid.columns, "left_anti")
 
 
 def same_bytes(a: DataFrame, b: DataFrame) -> bool:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions.maths import tfidf
+from lexigrid.functions.text import Analyzer
 
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str = "doc_id") -> DataFrame:
@@ -25,10 +26,13 @@ def ranked(tokens: DataFrame, queries: list[tuple[int, list[str]]], n_docs: Data
     return top_k(scores, ["qid"], "score", k).select("qid", "rank", "doc_id", "score")
 
 
-def feedback(docs: DataFrame, tokens, query: list[str], n_docs: DataFrame, n_top: int = 5, n_terms: int = 10) -> DataFrame:
-    """(term, score): the terms of the best documents by sum of tf times log10(N / df). tokens: a function of (docs, only) to token rows."""
-    best = ranked(tokens(docs, query), [(0, query)], n_docs, n_top, log_tf=False).select("doc_id")
-    inside = tokens(docs.join(F.broadcast(best), "doc_id", "left_semi"), None).groupBy("term").agg(F.count("*").alias("tf"))
-    df = tokens(docs, None).join(F.broadcast(inside), "term", "left_semi").groupBy("term", "doc_id").agg(F.lit(1).alias("x")).groupBy("term").agg(F.count("*").alias("df"))
+def feedback(docs: DataFrame, analyzer: Analyzer, field: str, query: list[str], n_docs: DataFrame, n_top: int = 5, n_terms: int = 10) -> DataFrame:
+    """(term, score): the terms of the best documents by sum of tf times log10(N / df). The best documents' terms, few, are intersected with
+    each document's before rows are made. The analyzer has no stemmer."""
+    best = ranked(analyzer.explode(docs, field, only=query), [(0, query)], n_docs, n_top, log_tf=False).select("doc_id")
+    inside = analyzer.explode(docs.join(F.broadcast(best), "doc_id", "left_semi"), field).groupBy("term").agg(F.count("*").alias("tf"))
+    listed = inside.agg(F.collect_list("term").alias("__asked"))
+    hits = docs.crossJoin(F.broadcast(listed)).select(F.explode(F.array_intersect(analyzer.tokens(F.col(field)), "__asked")).alias("term"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scores = inside.join(df, "term").crossJoin(F.broadcast(n_docs)).select("term", F.round(tfidf(F.col("tf"), F.col("df"), F.col("n"), False), 6).alias("score"))
     return scores.orderBy(F.desc("score"), "term").limit(n_terms)

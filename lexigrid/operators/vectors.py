@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ def hashed(seed: str, *cols: str):
 
 
 def doc_vectors(tokens: DataFrame, words: DataFrame, n_docs: DataFrame, dim: int, kind: str = "log") -> DataFrame:
-    """(doc_id, vec): the idf-weighted mean of the word vectors (term, vec) of a document's tokens; unknown words don't count."""
-    df = tokens.join(F.broadcast(words.select("term")), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """(doc_id, vec): the idf-weighted mean of the word vectors (term, vec) of a document's tokens; unknown words don't count.
+
+    The planner broadcasts the word vectors where they are few; otherwise they are joined.
+    """
+    df = tokens.join(words.select("term"), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     stats = df.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("term", idf(F.col("df"), F.col("n"), kind).alias("w"))
-    rows = df.join(F.broadcast(words.join(stats, "term")), "term")
+    rows = df.join(words.join(stats, "term"), "term")
     sums = rows.groupBy("doc_id").agg(F.sum("tf").alias("len"), *[F.sum(F.col("tf") * F.col("w") * F.col("vec")[i]).alias(f"v{i}") for i in range(dim)])
     return sums.select("doc_id", F.array(*[F.col(f"v{i}") / F.col("len") for i in range(dim)]).alias("vec"))
 
@@ -34,11 +39,53 @@ def initialised(words: DataFrame, known: DataFrame) -> DataFrame:
     return words.join(known.withColumnRenamed("vec", "__known"), "term", "left").withColumn("vec", F.coalesce("__known", "vec")).drop("__known")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, vec_id, sim): exact search; queries (qid, qvec) are a stated, small set and are broadcast. Each task keeps its own k best first."""
-    sims = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("sim"))
+def _tiles(k: int):
+    """A block of queries (side 0) and a shard of vectors (side 1) -> each query's k best of the shard, ties at the end included."""
+
+    def tiles(part: pa.Table) -> pa.Table:
+        side = np.asarray(part["side"])
+        at = [part.filter(pa.array(side == s)) for s in (0, 1)]
+        ids = [np.asarray(t["id"]) for t in at]
+        a, b = (np.asarray(t["vec"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1)) for t in at)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        length = [np.sqrt((x * x).sum(axis=1)) for x in (a, b)]
+        step = max(1, (1 << 22) // max(1, len(b)))
+        for i in range(0, len(a) if len(b) else 0, step):
+            norms = length[0][i : i + step, None] * length[1][None, :]
+            sims = np.where(norms > 0, (a[i : i + step] @ b.T) / np.where(norms > 0, norms, 1), -1.0)
+            rough = np.round(sims, 6)
+            rough[ids[0][i : i + step, None] == ids[1][None, :]] = -np.inf
+            least = np.partition(rough, len(b) - k, axis=1)[:, len(b) - k, None] if len(b) > k else -2.0
+            row, col = np.nonzero((rough >= least) & (rough > -2))
+            out.append((ids[0][i + row], ids[1][col], sims[row, col]))
+        return pa.table({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("qid", "vec_id", "sim"))})
+
+    return tiles
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = 4096, shard: int = 16384) -> DataFrame:
+    """(qid, rank, vec_id, sim): of each query (qid, qvec) the k rows of vectors (vec_id, vec) with the largest cosine (6 places), ties to the
+    smaller id; a row of the query's own id is none. Vectors of one length.
+
+    Queries are dealt to blocks and vectors to shards; a task multiplies one block with one shard and keeps its best. Where vectors are few
+    (leaders), blocks grow with them, so that copies stay fewer than the queries.
+    """
+    n_v = vectors.count()
+    blocks = max(1, -(-queries.count() // max(query_block, 64 * min(n_v, shard))))
+    shards = max(1, -(-n_v // shard))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select(F.col("qid").alias("id"), F.col("qvec").alias("vec"), deal("qid", blocks).alias("block"), every(shards).alias("shard"), F.lit(0).alias("side"))
+    v = vectors.select(F.col("vec_id").alias("id"), "vec", every(blocks).alias("block"), deal("vec_id", shards).alias("shard"), F.lit(1).alias("side"))
+    best = q.unionByName(v).groupBy("block", "shard").applyInArrow(_tiles(k), "qid long, vec_id long, sim double")
+    best = best.withColumn("sim", F.round("sim", 6))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "sim")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "sim")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, vec_id, sim): exact search."""
+    return nearest(vectors, queries, k)
 
 
 def leaders(vectors: DataFrame, seed: str = "leader") -> DataFrame:
@@ -48,25 +95,17 @@ def leaders(vectors: DataFrame, seed: str = "leader") -> DataFrame:
 
 
 def followers(vectors: DataFrame, lead: DataFrame, k: int = 3) -> DataFrame:
-    """(follower_id, leader_id, sim): each non-leader's k nearest leaders. The leaders, a square root of the rows, are broadcast up to 2**16, joined in blocks beyond."""
-    own = lead.select(F.col("vec_id").alias("leader_id"), F.col("vec").alias("lvec"))
-    rest = vectors.join(own.select(F.col("leader_id").alias("vec_id")), "vec_id", "left_anti")
-    if lead.count() <= 1 << 16:
-        pairs = rest.crossJoin(F.broadcast(own))
-    else:
-        blocks = 64
-        pairs = rest.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(own.withColumn("b", F.pmod(F.xxhash64("leader_id"), F.lit(blocks)).cast("int")), "b")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("cost"), "leader_id"))), 1, k)
-    rows = pairs.select(F.col("vec_id").alias("follower_id"), "leader_id", F.round(cosine(F.col("vec"), F.col("lvec")), 6).alias("sim"))
-    return rows.groupBy("follower_id").agg(best.alias("b")).select("follower_id", F.explode("b").alias("x")).select("follower_id", "x.leader_id", (-F.col("x.cost")).alias("sim"))
+    """(follower_id, leader_id, sim): each non-leader's k nearest leaders."""
+    rest = vectors.join(lead.select("vec_id"), "vec_id", "left_anti").select(F.col("vec_id").alias("qid"), F.col("vec").alias("qvec"))
+    return nearest(lead, rest, k).select(F.col("qid").alias("follower_id"), F.col("vec_id").alias("leader_id"), "sim")
 
 
 def pruned_search(vectors: DataFrame, lead: DataFrame, clusters: DataFrame, queries: DataFrame, k: int, probes: int = 3) -> DataFrame:
     """search() over the followers of the `probes` leaders nearest to a query, and all these leaders."""
     near = search(lead, queries, probes).select("qid", F.col("vec_id").alias("leader_id"))
     own = near.select("qid", F.col("leader_id").alias("vec_id"))
-    inside = clusters.join(F.broadcast(near), "leader_id").select("qid", F.col("follower_id").alias("vec_id"))
-    some = inside.unionByName(own).distinct().join(vectors, "vec_id").join(F.broadcast(queries), "qid").where("vec_id <> qid")
+    inside = clusters.join(near, "leader_id").select("qid", F.col("follower_id").alias("vec_id"))
+    some = inside.unionByName(own).distinct().join(vectors, "vec_id").join(queries, "qid").where("vec_id <> qid")
     sims = some.select("qid", "vec_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("sim"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id")
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "sim")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import ALPHA, Analyzer
+from lexigrid.functions.text import ALPHA, Analyzer, counted, once
 from lexigrid.operators import corpus, index, laws, ranked
 from lexigrid.operators.boolean import Search
 from lexigrid.sources.readers import table
@@ -13,7 +13,6 @@ from lexigrid.sources.readers import table
 QUERIES: dict = {}
 SQL: dict = {}
 PLAIN = Analyzer(ALPHA)
-TERMS = ["the", "ther", "onand", "der", "tion"]
 RANKED = [(1, ["ther", "onand"]), (2, ["tion", "ing", "tion"]), (3, ["haon", "der"])]
 TOK = """t AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents),
 tok AS (SELECT doc_id, lang, source, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM t)"""
@@ -50,7 +49,7 @@ def token_counts(spark, sf):
 
 @query("term_df", f"WITH {TOK} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM tok GROUP BY term HAVING count(*) >= 20")
 def term_df(spark, sf):
-    return index.term_stats(tokens(spark, sf)).where("cf >= 20")
+    return index.term_stats(counted(docs(spark, sf), PLAIN, "text")).where("cf >= 20")
 
 
 @query("term_cf_threshold", f"WITH {TOK}, k AS (SELECT term FROM tok GROUP BY term HAVING count(*) >= 200) SELECT lang AS corpus, CAST(count(*) AS BIGINT) AS kept FROM tok WHERE term IN (SELECT term FROM k) GROUP BY lang")
@@ -58,20 +57,20 @@ def term_cf_threshold(spark, sf):
     return index.frequent(tokens(spark, sf), 200).groupBy("corpus").agg(F.count("*").alias("kept"))
 
 
-@query("postings_summary", f"WITH {TOK} SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, CAST(min(pos) AS INTEGER) AS first_pos, CAST(max(pos) AS INTEGER) AS last_pos FROM tok WHERE term IN {tuple(TERMS)} GROUP BY term, doc_id")
+@query("postings_summary", f"WITH {TOK} SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, CAST(min(pos) AS INTEGER) AS first_pos, CAST(max(pos) AS INTEGER) AS last_pos FROM tok GROUP BY term, doc_id")
 def postings_summary(spark, sf):
-    p = index.postings(tokens(spark, sf, TERMS))
+    p = index.postings(tokens(spark, sf))
     return p.select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
-@query("index_dump", f"WITH {TOK}, p AS (SELECT term, doc_id, string_agg(pos, ', ' ORDER BY pos) AS s FROM tok WHERE term IN {tuple(TERMS)} GROUP BY term, doc_id) SELECT term, -1::BIGINT AS doc_id, term || ':' || count(*) AS line FROM p GROUP BY term UNION ALL SELECT term, doc_id, chr(9) || doc_id || ': ' || s FROM p")
+@query("index_dump", f"WITH {TOK}, p AS (SELECT term, doc_id, string_agg(pos, ', ' ORDER BY pos) AS s FROM tok GROUP BY term, doc_id) SELECT term, -1::BIGINT AS doc_id, term || ':' || count(*) AS line FROM p GROUP BY term UNION ALL SELECT term, doc_id, chr(9) || doc_id || ': ' || s FROM p")
 def index_dump(spark, sf):
-    return index.dump_lines(index.postings(tokens(spark, sf, TERMS))).fillna(-1, ["doc_id"])
+    return index.dump_lines(index.postings(tokens(spark, sf))).fillna(-1, ["doc_id"])
 
 
-@query("index_merge", f"WITH {TOK} SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, CAST(sum(pos) AS BIGINT) AS pos_sum FROM tok WHERE term IN {tuple(TERMS)} GROUP BY term, doc_id")
+@query("index_merge", f"WITH {TOK} SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, CAST(sum(pos) AS BIGINT) AS pos_sum FROM tok GROUP BY term, doc_id")
 def index_merge(spark, sf):
-    t = tokens(spark, sf, TERMS)
+    t = tokens(spark, sf)
     whole = index.merge(*[index.postings(t.where(F.pmod("doc_id", F.lit(2)) == k)) for k in (0, 1)])
     return whole.select("term", "doc_id", "tf", F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("pos_sum"))
 
@@ -132,7 +131,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 best AS (SELECT doc_id FROM tf JOIN df USING (term), n WHERE term IN ('ther', 'onand') GROUP BY doc_id ORDER BY round(sum(tf * log10(n.n / df.df)), 4) DESC, doc_id LIMIT 5)
 SELECT term, round(sum(tf) * log10(max(n.n) / max(df.df)), 6) AS score FROM tf JOIN df USING (term), n WHERE doc_id IN (SELECT doc_id FROM best) GROUP BY term ORDER BY score DESC, term LIMIT 10""")
 def feedback_terms(spark, sf):
-    return ranked.feedback(docs(spark, sf), lambda d, only: PLAIN.explode(d, "text", only=only), ["ther", "onand"], n_docs(spark, sf))
+    return ranked.feedback(docs(spark, sf), PLAIN, "text", ["ther", "onand"], n_docs(spark, sf))
 
 
 @query("zipf", f"WITH {TOK}, c AS (SELECT term, count(*) AS freq FROM tok GROUP BY term), r AS (SELECT *, row_number() OVER (ORDER BY freq DESC, term) AS rank FROM c) SELECT CAST(rank AS INTEGER) AS rank, term, freq, round(ln(rank), 6) AS ln_rank, round(ln(freq), 6) AS ln_freq FROM r WHERE rank <= 100")
@@ -167,8 +166,7 @@ def _top_sql(score: str, places: int) -> str:
 
 def _scored(spark, sf):
     d = docs(spark, sf)
-    freq = index.frequencies(tokens(spark, sf))
-    return corpus.scored(corpus.contingency(freq, corpus.corpus_sizes(d)))
+    return corpus.scored(corpus.contingency(once(d, PLAIN, "text", keep=("corpus",)), corpus.corpus_sizes(d)))
 
 
 query("corpus_mi_topk", _top_sql("mi", 5))(lambda spark, sf: corpus.top_terms(_scored(spark, sf), "mi", 5))
@@ -194,7 +192,7 @@ def word_per_corpus(spark, sf):
 
 @query("df_window", f"WITH {TOK}, d AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term), n AS (SELECT count(*) AS n FROM documents) SELECT CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(df) AS BIGINT) AS df_sum FROM d, n WHERE df >= 15 AND df <= 0.6 * n.n")
 def df_window(spark, sf):
-    rows = index.term_stats(tokens(spark, sf)).crossJoin(F.broadcast(n_docs(spark, sf))).where("df >= 15 and df <= 0.6 * n")
+    rows = index.term_stats(counted(docs(spark, sf), PLAIN, "text")).crossJoin(F.broadcast(n_docs(spark, sf))).where("df >= 15 and df <= 0.6 * n")
     return rows.agg(F.count("*").alias("n_terms"), F.sum("df").alias("df_sum"))
 
 
@@ -205,6 +203,30 @@ def chi_feature_filter(spark, sf):
     return per.groupBy("corpus").agg(F.sum("n").alias("kept"), F.count("*").alias("docs"))
 
 
+@query("chi_own_label", f"WITH {CELLS}, k AS (SELECT term, corpus FROM s WHERE chisq >= 2.71) SELECT lang AS corpus, CAST(count(*) AS BIGINT) AS kept, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM tok WHERE (term, lang) IN (SELECT (term, corpus) FROM k) GROUP BY lang")
+def chi_own_label(spark, sf):
+    """The filter by a token's own corpus."""
+    kept = corpus.critical_filter(tokens(spark, sf), _scored(spark, sf), use_label=True)
+    per = kept.groupBy("corpus", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("corpus").agg(F.sum("n").alias("kept"), F.count("*").alias("docs"))
+
+
+@query("idf_forms", f"WITH {TOK}, n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term) SELECT term, round(log10(n.n / df), 6) AS log_idf, round(1 + log10(n.n / (df + 1)), 6) AS smooth_idf, round(1.0 / df, 6) AS inverse_idf FROM d, n")
+def idf_forms(spark, sf):
+    from lexigrid.functions.maths import idf
+
+    rows = index.term_stats(counted(docs(spark, sf), PLAIN, "text")).crossJoin(F.broadcast(n_docs(spark, sf)))
+    return rows.select("term", *[F.round(idf(F.col("df"), F.col("n"), k), 6).alias(f"{k}_idf") for k in ("log", "smooth", "inverse")])
+
+
+@query("bag_of_words", f"WITH {TOK}, f AS (SELECT term, min((doc_id, pos)) AS f FROM tok GROUP BY term), v AS (SELECT term, row_number() OVER (ORDER BY f) - 1 AS term_id FROM f) SELECT doc_id, CAST(term_id AS BIGINT) AS term_id, CAST(count(*) AS BIGINT) AS n FROM tok JOIN v USING (term) GROUP BY doc_id, term_id")
+def bag_of_words(spark, sf):
+    from lexigrid.operators.learn import bag, vocabulary
+
+    t = tokens(spark, sf)
+    return bag(t, vocabulary(t))
+
+
 @query("token_patterns", "SELECT CAST(sum(len(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS BIGINT) AS alnum, CAST(sum(len(regexp_extract_all(text, '[a-zA-Z]+'))) AS BIGINT) AS alpha, CAST(sum(len(regexp_extract_all(text, '(?i)[a-zÀ-ÿ]+'))) AS BIGINT) AS latin, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS blanks FROM documents")
 def token_patterns(spark, sf):
     from lexigrid.functions.text import ALNUM, LATIN
@@ -232,6 +254,16 @@ def lda_topics(spark, sf):
     return corpus.topic_words(model, vocab, 10)
 
 
+@query("lda_corpus_topics")
+def lda_corpus_topics(spark, sf):
+    """The mean probability of each topic in each corpus, and which is the largest."""
+    rows = docs(spark, sf).select("doc_id", "corpus", PLAIN.tokens(F.col("text")).alias("tokens"))
+    _, _, distributed = corpus.topics(rows, "tokens")
+    mass = corpus.topic_mass(distributed)
+    best = corpus.top_topic(mass).select("corpus", F.col("topic").alias("best"))
+    return mass.join(best, "corpus").select("corpus", "topic", F.round("mass", 6).alias("mass"), (F.col("topic") == F.col("best")).alias("largest"))
+
+
 @query("word2vec_neighbours")
 def word2vec_neighbours(spark, sf):
     from lexigrid.operators.learn import word_vectors
@@ -240,19 +272,28 @@ def word2vec_neighbours(spark, sf):
     return model.findSynonyms("the", 10)
 
 
-@query("vocabulary_ids", f"WITH {TOK}, f AS (SELECT term, min(doc_id * 1000000 + pos) AS f FROM tok WHERE doc_id < 50 GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY f) - 1 AS BIGINT) AS term_id FROM f")
+@query("vocabulary_ids", f"WITH {TOK}, f AS (SELECT term, min((doc_id, pos)) AS f FROM tok GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY f) - 1 AS BIGINT) AS term_id FROM f")
 def vocabulary_ids(spark, sf):
     from lexigrid.operators.learn import vocabulary
 
-    return vocabulary(PLAIN.explode(docs(spark, sf).where("doc_id < 50"), "text"))
+    return vocabulary(tokens(spark, sf))
+
+
+_DIGIT = "(('0x' || substr(md5(term), {}, 4))::BIGINT % 2001 - 1000) / 1000.0::DOUBLE"
 
 
-@query("doc_vector_idf", f"""WITH {TOK}, n AS (SELECT count(*) AS n FROM documents), w AS (SELECT 'the' AS term, 1.0 AS x, 0.5 AS y UNION ALL SELECT 'ther', 0.25, 2.0 UNION ALL SELECT 'der', -1.0, 0.125),
-tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-SELECT doc_id, round(sum(tf * log10(n.n / df.df) * x) / sum(tf), 6) AS v0, round(sum(tf * log10(n.n / df.df) * y) / sum(tf), 6) AS v1 FROM tf JOIN df USING (term) JOIN w USING (term), n GROUP BY doc_id""")
+@query(
+    "doc_vector_idf",
+    f"""WITH {TOK}, n AS (SELECT count(*) AS n FROM documents), tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, {_DIGIT.format(1)} AS x, {_DIGIT.format(5)} AS y FROM tf GROUP BY term)
+SELECT doc_id, round(sum(tf * log10(n.n / df.df) * x) / sum(tf), 6) AS v0, round(sum(tf * log10(n.n / df.df) * y) / sum(tf), 6) AS v1
+FROM tf JOIN df USING (term), n GROUP BY doc_id""",
+)
 def doc_vector_idf(spark, sf):
+    """Document vectors from a vector of two components, digits of its md5, for every term."""
     from lexigrid.operators.vectors import doc_vectors
 
-    words = spark.createDataFrame([("the", [1.0, 0.5]), ("ther", [0.25, 2.0]), ("der", [-1.0, 0.125])], "term string, vec array<double>")
-    out = doc_vectors(tokens(spark, sf, ["the", "ther", "der"]), words, n_docs(spark, sf), 2)
+    digit = lambda at: (F.conv(F.substring(F.md5("term"), at, 4), 16, 10).cast("long") % 2001 - 1000) / F.lit(1000.0)
+    words = tokens(spark, sf).select("term").distinct().select("term", F.array(digit(1), digit(5)).alias("vec"))
+    out = doc_vectors(tokens(spark, sf), words, n_docs(spark, sf), 2)
     return out.select("doc_id", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[1], 6).alias("v1"))

@@ -58,8 +58,11 @@ def run_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """(line_no, line) of one file, from line `skip` on, numbered from 0 at the file's start."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"), F.col("value"))
-    return rows.where((F.col("line_no") >= skip) & ~((F.col("line") == "") & (F.col("line_no") == F.size(F.split("value", "\r?\n")) - 1))).select("line_no", "line")
+    every = F.split("value", "\r?\n")
+    # a last line that is empty is the end of the one before
+    kept = F.transform(F.array(every), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))[0]
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(kept).alias("line_no", "line"))
+    return rows.where(F.col("line_no") >= skip)
 
 
 def word_list(spark: SparkSession, path: str) -> frozenset[str]:

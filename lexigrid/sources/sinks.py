@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.operators.evaluate import rounded, with_means
 from lexigrid.operators.index import dump_lines
 
 
@@ -31,6 +32,12 @@ def csv(rows: DataFrame, path: str, *by: str, partition: str | None = None) -> N
     (w.partitionBy(partition) if partition else w).csv(path)
 
 
+def metrics(rows: DataFrame, path: str) -> None:
+    """Each system's rows by query, then its means (query: "mean"), to three places."""
+    out = rounded(with_means(rows), 3).withColumn("query", F.coalesce(F.col("query").cast("string"), F.lit("mean")))
+    out.orderBy("system", F.col("query").try_cast("int").asc_nulls_last()).write.mode("overwrite").option("header", True).csv(path)
+
+
 def table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

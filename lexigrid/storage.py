@@ -6,19 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir, or in plain local mode, where it is unset, a temporary folder."""
-    spark = df.sparkSession
+def place(spark: SparkSession, what: str) -> str:
+    """A new path under spark.checkpoint.dir, or in plain local mode, where it is unset, in a temporary folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='lexigrid-')}")
-    path = f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
+    path = place(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -215,6 +215,7 @@ def test_splits(spark):
     assert learn.split(rows).where("split = 'dev'").count() == 11
     assert {r.c: r["count"] for r in learn.split(rows, by="c").where("split = 'dev'").groupBy("c").count().collect()} == {0: 6, 1: 5}
     assert [r.n for r in learn.balanced_parts(spark.range(10), "id", 4).orderBy("part").collect()] == [3, 3, 2, 2]
+    assert [(r.first, r.last, r.n) for r in learn.balanced_parts(spark.range(0, 70, 10), "id", 3).orderBy("part").collect()] == [(0, 20, 3), (30, 40, 2), (50, 60, 2)]
 
 
 def test_bags(spark):
@@ -229,7 +230,7 @@ def test_bags(spark):
 def test_quality(spark):
     d = spark.createDataFrame([("1", "x"), ("q", "x"), ("1", "x"), (None, "y")], "n string, k string")
     assert quality.not_numeric(d, "n").count() == 1 and quality.duplicates(d, "n", "k", count="copies").collect()[0].copies == 2
-    assert quality.missing(d, n=["1", "2"], k=["x", "y"]).count() == 3 and quality.outside(d, "k", ["x"]).count() == 1
+    assert quality.missing(d, spark.createDataFrame([("1",), ("2",)], ["n"]), spark.createDataFrame([("x",), ("y",)], ["k"])).count() == 3 and quality.outside(d, "k", ["x"]).count() == 1
 
 
 def test_text_forms(spark):

@@ -7,7 +7,7 @@ from lexigrid import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"lda_topics", "svm_predict", "word2vec_neighbours"}
+SLOW = {"lda_topics", "lda_corpus_topics", "svm_predict", "word2vec_neighbours"}
 
 
 @pytest.fixture(scope="module")

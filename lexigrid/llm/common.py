@@ -4,34 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in plain local mode, where it is unset, a temporary folder."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='lexigrid-')}")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lexigrid.storage import written
 
 
 def discard(df: DataFrame) -> None:
@@ -150,28 +129,48 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+#: Rows of one key, or a share of all rows, from which a join broadcasts what it is joined with.
+HOT, HOT_SHARE = 1000, 1e-5
+
+
+def join_heads(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """rows joined by key with heads, which have one row a key and in c how many of rows have it. Heads of hot keys, 1 / HOT_SHARE at most, are
+    broadcast, so that no task gets a hot key's rows."""
+    heads = written(heads, "heads")
+    total = heads.agg(F.sum("c")).first()[0] or 0
+    least = max(HOT, int(total * HOT_SHARE))
+    if heads.where(F.col("c") >= least).isEmpty():
+        return rows.join(heads, key)
+    hot = F.broadcast(heads.where(F.col("c") >= least))
+    rest = rows.join(hot.select(key), key, "left_anti").join(heads.where(F.col("c") < least), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame, what: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): (id, component), component the smallest id that links reach.
 
-    Alternating large-star and small-star steps; each keeps connectivity, and their number grows with the logarithm of the graph's size. A star's
-    smallest member is found with a partial aggregation, so that a node of many edges is no hot key; the steps' tables are
-    written to the shared folder. Rows with a null or equal ends are no edges. Ids without edges have no row.
+    Alternating large-star and small-star steps; each keeps connectivity, and their number grows with the logarithm of the graph's size. A
+    node's smallest neighbour is found with a partial aggregation and goes to a hub's edges by a broadcast, so that a node of many edges is no
+    hot key; the steps' tables are written to the shared folder. Rows with a null or equal ends are no edges. Ids without edges have no row.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{what}-edges"
     )
+    low = F.min("b").alias("m"), F.count("*").alias("c")
     for _ in range(rounds):
         before = now
         # large star: every larger neighbour of a node links to the smallest of the node and its neighbours
         both = before.unionByName(before.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(*low).withColumn("m", F.least("a", "m"))
+        large = join_heads(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = written(large.distinct(), f"{what}-large")
         # small star: every smaller neighbour of a node, and the node, link to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct(), f"{what}-edges")
+        least = large.groupBy("a").agg(*low)
+        small = join_heads(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{what}-edges")
         same = _digest(now) == _digest(before)
         discard(before)
+        discard(large)
         if same:
             break
     else:

@@ -10,105 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import components, released, shingle_set, table, written
+from lexigrid.llm.common import components, join_heads, mixed, released, shingle_set, table, written
+from lexigrid.llm.signature_tree import linked
 
-#: The share of the hash range in which a shingle's nodes are counted, as a multiple of the share of shingles that a prefix has.
+#: The share of the hash range in which a larger set's shingles are counted, as a multiple of the share of shingles that a prefix has.
 LOW_SHARE = 1.6
+#: Of sets of fewer shingles, and of those that may link with one, all shingles are counted.
+SMALL = 64
 #: Sets a tree holds at most; larger clusters are dealt to blocks, and every two blocks that sizes allow meet in a task.
 BLOCK = 1500
-#: Ids up to which a semi-join's right side is broadcast.
-BROADCAST_IDS = 1 << 19
-FAN_OUT = 8
-
-
-class SignatureTree:
-    """Shingle sets in a tree: leaves in the order of size and signature, nodes with OR-combined bitmaps and size ranges."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int) -> None:
-        self.sets, self.size = sets, np.array([len(s) for s in sets])
-        maps = np.zeros((len(sets), bits), bool)
-        for i, s in enumerate(sets):
-            maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
-        self.levels = [(np.packbits(maps, axis=1), self.size, self.size, np.array([len(s) for s in sets]))]
-        while len(self.levels[-1][0]) > 1:
-            b, low, high, _ = self.levels[-1]
-            cut = np.arange(0, len(b), FAN_OUT)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), None))
-        self.held = [np.array([int(np.bitwise_count(row).sum()) for row in x[0]]) for x in self.levels]
-
-
-def _bound_ok(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which node pairs may hold a pair of sets that links: from the largest overlap that bitmaps and sizes allow."""
-    low_a, high_a, low_b, high_b = a[1][i], a[2][i], b[1][j], b[2][j]
-    # a set of x and one of y elements link only if min * den >= num * max
-    ok = (np.minimum(high_a, high_b) * den >= num * np.maximum(low_a, low_b)) & (high_a > 0) & (high_b > 0)
-    # each bit set in one leaf but in no set below the other node stands for an element outside the overlap
-    for x, y, n_low, n_high, other_low, other_high, p, q in ((a, b, low_a, high_a, low_b, high_b, i, j), (b, a, low_b, high_b, low_a, high_a, j, i)):
-        leaf = n_low == n_high
-        if leaf.any():
-            lone = np.bitwise_count(x[0][p[leaf]] & ~y[0][q[leaf]]).sum(axis=1, dtype=np.int64) if x[3] is not None else np.zeros(leaf.sum(), np.int64)
-            most = np.minimum(n_high[leaf] - lone, other_high[leaf])
-            # overlap / (n + m - overlap) is largest at the smallest m, which the overlap itself bounds from below
-            m = np.maximum(most, other_low[leaf])
-            ok[leaf] &= most * (den + num) >= num * (n_high[leaf] + m)
-    return ok
-
-
-def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both * den >= num * (len(x) + len(y) - both)
-
-
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the same components as all links between left and right (right None: within left): (place in left, in left + right).
-
-    Dual traversal from the roots; node pairs that no overlap can save are dropped, and so are pairs of leaves that
-    earlier links connect already. Every pair of leaves that stays is decided on the whole sets.
-    """
-    own = right is None
-    sets = left + ([] if own else right)
-    top = max([len(s) for s in sets], default=1)
-    bits = 1 << max(6, min(16, int(top - 1).bit_length() if top > 1 else 6))
-    order = lambda ss: sorted(range(len(ss)), key=lambda k: (len(ss[k]), ss[k][:4].tobytes()))
-    at_a = order(left)
-    a = SignatureTree([left[k] for k in at_a], bits)
-    at_b, b = (at_a, a) if own else (lambda o: ([len(left) + k for k in o], SignatureTree([right[k] for k in o], bits)))(order(right))
-    parent = list(range(len(sets)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    out: list[tuple[int, int]] = []
-    la, lb = len(a.levels) - 1, len(b.levels) - 1
-    stack = [(la, lb, np.array([0]), np.array([0]))]
-    while stack:
-        la, lb, i, j = stack.pop()
-        if len(i) > 4096:  # depth first in pieces, so that memory stays small
-            stack += [(la, lb, i[k : k + 4096], j[k : k + 4096]) for k in range(0, len(i), 4096)][::-1]
-            continue
-        ok = _bound_ok(a.levels[la], b.levels[lb], i, j, num, den)
-        i, j = i[ok], j[ok]
-        if la == lb == 0:
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                x, y = at_a[p], at_b[q]
-                if x != y and (rx := root(x)) != (ry := root(y)) and _similar(a.sets[p], b.sets[q], num, den):
-                    parent[max(rx, ry)] = min(rx, ry)
-                    out.append((x, y))
-            continue
-        if la >= lb and la:
-            i, j = (i[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel(), np.repeat(j, FAN_OUT)
-            keep, la = i < len(a.levels[la - 1][0]), la - 1
-        else:
-            i, j = np.repeat(i, FAN_OUT), (j[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            keep, lb = j < len(b.levels[lb - 1][0]), lb - 1
-        if own:  # of a symmetric pair, the one that stands first
-            keep &= i * FAN_OUT**la <= (j + 1) * FAN_OUT**lb - 1
-        if keep.any():
-            stack.append((la, lb, i[keep], j[keep]))
-    return out
+#: Ids up to which a semi-join's right side is broadcast; counted shingles that a partition gets on average.
+BROADCAST_IDS, PER_PART = 1 << 19, 1 << 21
+#: The rank, after all counts, of shingles that aren't counted.
+UNCOUNTED = 1 << 40
 
 
 def _node(s: np.ndarray) -> int | None:
@@ -120,7 +34,20 @@ def _low(num: int, den: int) -> int:
     return int(min(0.49, LOW_SHARE * (1 - num / den)) * 2.0**64)
 
 
+def _need(n, num: int, den: int):
+    """Of two linked sets each shares one of so many of its first shingles, in any one order of all shingles."""
+    return n - (num * n + den - 1) // den + 1
+
+
+_SMALL_BIT, _CLASS = np.uint64(1), np.uint64(0xA5A5A5A55A5A5A5A)
+
+
 def _prefix_rows(n_words: int, num: int, den: int):
+    """Texts -> their sets' sizes, names, and shingles (h) to be counted, or (more) taken uncounted, by hash, where a prefix needs them.
+
+    The last bit of a shingle tells the class: 1 of small sets, where all are counted; 0 of larger ones, where only those in the low part of the
+    range are. Two linked sets are both in the class of the smaller one: a set that may link with a small one is in both.
+    """
     low = np.uint64(_low(num, den))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +55,23 @@ def _prefix_rows(n_words: int, num: int, den: int):
             out: list[list] = [[], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, n_words)
-                need = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
-                n_low = int(np.searchsorted(s, low))
-                for column, value in zip(out, (len(s), _node(s), need, n_low, s[: max(n_low, need)].view(np.int64)), strict=True):
+                n, n_low, parts, more = len(s), int(np.searchsorted(s, low)), [], s[:0]
+                if n * num < SMALL * den:
+                    parts.append(mixed(s ^ _CLASS) | _SMALL_BIT)
+                if n >= SMALL:
+                    parts.append(s[:n_low] & ~_SMALL_BIT)
+                    more = s[n_low : max(n_low, _need(n, num, den))] & ~_SMALL_BIT
+                h = np.concatenate(parts) if parts else s
+                for column, value in zip(out, (n, _node(s), n_low, h.view(np.int64), more.view(np.int64)), strict=True):
                     column.append(value)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int32)
-            flat = np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64)
+            lists = []
+            for some in out[3:]:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32)
+                flat = np.concatenate(some) if some else np.zeros(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "node", "need", "n_low", "h"],
+                [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *lists],
+                names=["doc_id", "n_shingles", "node", "n_low", "h", "more"],
             )
 
     return rows
@@ -176,13 +111,13 @@ def _sets(n_words: int):
 def _links(num: int, den: int):
     def meet(part: pa.Table) -> pa.Table:
         part = part.sort_by("node")
-        ids, side = part["node"].to_pylist(), part["side"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in part["set"].to_pylist()]
-        a = [k for k, s in enumerate(side) if s != 1]
-        b = [k for k, s in enumerate(side) if s == 1]
-        place = a + b
-        found = linked([sets[k] for k in a], [sets[k] for k in b] if b else None, num, den) if not b or a else []
-        return pa.table({"a": pa.array([ids[place[x]] for x, _ in found], pa.int64()), "b": pa.array([ids[place[y]] for _, y in found], pa.int64())})
+        ids, side = np.asarray(part["node"]), np.asarray(part["side"])
+        place = np.concatenate([np.flatnonzero(side == 0), np.flatnonzero(side == 1)])
+        sets = [np.frombuffer(part["set"][int(k)].as_buffer(), np.uint64) for k in place]
+        n, ids = int((side == 0).sum()), ids[place]
+        same = part["p"][0].as_py() == part["q"][0].as_py()
+        found = linked(sets[:n], None if same else sets[n:], num, den, np.asarray(part["group"])[place])
+        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
 
     return meet
 
@@ -190,30 +125,40 @@ def _links(num: int, den: int):
 def join_components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id under the links den * intersection >= num * union.
 
-    A text's set holds its distinct n_words-word shingles (64-bit hashes); a shorter text is one shingle; null, empty and blank
-    texts have no set, no links, and are their own component. Repeated rows, also of one doc_id with other texts, are
-    documents each; a component is named by the smallest doc_id in it (null only if all are). Exact, in these steps:
+    A text's set holds its distinct n_words-word shingles (63-bit hashes in the candidate search, 64-bit ones in the decision); a shorter text is
+    one shingle; null, empty and blank texts have no set, no links, and are their own component. Repeated rows, also of one doc_id with other
+    texts, are documents each; a component is named by the smallest doc_id in it (null only if all are). An empty table gives no
+    rows; other columns, whatever their names, play no part. Exact, in these steps:
     1. Rows of one set are one node.
-    2. In the order "low shingles of one node only, then by hash", linked sets share one of the first n - ceil(n * num / den) + 1
-       shingles. Low are the hashes in the lowest part of the range (see LOW_SHARE), the only ones whose nodes are counted. A node whose
-       prefix holds shingles of its own alone links with nothing and goes no further.
-    3. Nodes that share a prefix shingle form clusters; only they are read again. Each cluster's sets meet in signature
-       trees, in blocks of some BLOCK sets, cut by size: two blocks whose sizes are too far apart don't meet.
+    2. In one order of all shingles, linked sets share one of the first n - ceil(n * num / den) + 1. The order is by the number of nodes that
+       have a shingle, rare ones first: all shingles of small sets are counted, of larger ones those in the lowest part of the range (see
+       LOW_SHARE), and the others follow by hash. A node whose prefix holds shingles of its own alone links with nothing and
+       goes no further.
+    3. Nodes that share a prefix shingle form clusters; only they are read again. Each cluster's sets meet in signature trees, in blocks
+       of some BLOCK sets, cut by size. First every block meets itself and the next one; then all others whose sizes are near enough, but
+       for blocks that are one component by then: a large group of near copies takes as many tasks as it has blocks.
     4. Links join to components, and rows take over their node's.
     """
-    read = docs.select("doc_id", "text")
-    rows = written(read.mapInArrow(released(_prefix_rows(n_words, num, den)), "doc_id long, n_shingles long, node long, need int, n_low int, h array<long>"), "jaccard-sets")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read, spark = docs.select("doc_id", "text"), docs.sparkSession
+    schema = "doc_id long, n_shingles long, node long, n_low int, h array<long>, more array<long>"
+    rows = written(read.mapInArrow(released(_prefix_rows(n_words, num, den)), schema), "jaccard-sets")
+    counted = rows.agg(F.sum(F.size("h"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted // PER_PART))
     tokens = rows.where("node is not null").select(F.explode("h").alias("h"), "node").repartition(parts, "h").sortWithinPartitions("h", "node")
-    shared = tokens.mapInArrow(released(_shared), "h long, node long").groupBy("node").agg(F.collect_list("h").alias("h"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("need").alias("need"), F.first("n_low").alias("n_low"))
-    shared = shared.join(nodes, "node").select("node", "need", "n_low", F.array_sort("h").alias("h"))
-    low = F.filter("h", lambda h: (h >= 0) & (h < _low(num, den)))
-    by_hash = F.concat(F.filter("h", lambda h: h >= 0), F.filter("h", lambda h: h < 0))  # as unsigned numbers
-    rest = F.greatest(F.lit(0), F.col("need") - (F.col("n_low") - F.size(low)))
-    prefix = written(shared.select("node", F.explode(F.slice(by_hash, F.lit(1), rest)).alias("h")), "jaccard-prefix")
+    shared = written(tokens.mapInArrow(released(_shared), "h long, node long"), "jaccard-shared")
+    times = shared.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("head"))
+    shared = join_heads(shared, times, "h").select("node", F.struct(F.col("c").alias("rank"), "h").alias("x"))
+    more = rows.where("size(more) > 0").select("node", F.explode("more").alias("h")).distinct()
+    shared = shared.unionByName(more.select("node", F.struct(F.lit(UNCOUNTED).alias("rank"), "h").alias("x")))
+    small = F.col("x.h").bitwiseAND(F.lit(1)) == 1
+    lists = shared.groupBy("node", small.alias("small")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("n_low").alias("n_low"))
+    need = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+    alone = F.when(F.col("small"), F.col("n")).otherwise(F.col("n_low")) - F.size(F.filter("x", lambda x: x["rank"] < UNCOUNTED))
+    first = F.slice("x", F.lit(1), F.greatest(F.lit(0), need - alone).cast("int"))
+    prefix = written(lists.join(nodes, "node").select("node", F.explode(F.transform(first, lambda x: x["h"])).alias("h")), "jaccard-prefix")
     heads = prefix.groupBy("h").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
-    star = prefix.join(heads, "h").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
+    star = join_heads(prefix, heads, "h").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     cluster = components(star, "jaccard-clusters").select(F.col("id").alias("node"), F.col("component").alias("cluster"))
     cluster = written(cluster.join(nodes.select("node", "doc_id"), "node"), "jaccard-cluster")
     few = cluster.count() <= BROADCAST_IDS
@@ -221,15 +166,31 @@ def join_components(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     sets = again.mapInArrow(released(_sets(n_words)), "node long, cluster long, set binary").dropDuplicates(["node"])
     sets = written(sets.withColumn("n", F.floor(F.length("set") / 8).cast("long")), "jaccard-cluster-sets")
     placed, pairs = _blocks(sets, num, den)
-    left = placed.join(pairs.select("cluster", F.col("p").alias("block"), "q"), ["cluster", "block"]).select("cluster", F.col("block").alias("p"), "q", "node", "set", F.lit(0).alias("side"))
-    right = placed.join(pairs.where("p <> q").select("cluster", "p", F.col("q").alias("block")), ["cluster", "block"]).select("cluster", "p", F.col("block").alias("q"), "node", "set", F.lit(1).alias("side"))
-    links = left.unionByName(right).groupBy("cluster", "p", "q").applyInArrow(_links(num, den), "a long, b long")
-    found = components(links, "jaccard-links").select(F.col("id").alias("node"), F.col("component").alias("group"))
-    named = nodes.join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    near = pairs.where("q - p <= 1")
+    found = written(_met(placed.withColumn("group", F.lit(-1).cast("long")), near, num, den), "jaccard-links")
+    far = pairs.where("q - p > 1")
+    if not far.isEmpty():  # blocks that the first links make one component have nothing to find
+        group = components(found, "jaccard-near").select(F.col("id").alias("node"), F.col("component").alias("group"))
+        known = written(placed.join(group, "node", "left").withColumn("group", F.coalesce("group", "node")), "jaccard-known")
+        ends = known.groupBy("cluster", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        x, y = (ends.select("cluster", F.col("block").alias(b), F.col("low").alias(f"low_{b}"), F.col("high").alias(f"high_{b}")) for b in "pq")
+        far = far.join(x, ["cluster", "p"]).join(y, ["cluster", "q"]).where("not (low_p = high_p and low_q = high_q and low_p = low_q)")
+        found = found.unionByName(_met(known, far.select("cluster", "p", "q"), num, den))
+    group = components(found, "jaccard-links").select(F.col("id").alias("node"), F.col("component").alias("group"))
+    named = nodes.select("node", "doc_id").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
     named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("node", "component_id")
     return rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _met(placed: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the sets of pairs (cluster, p <= q) of blocks; each pair in a task."""
+    own = [F.col("cluster"), F.col("node"), F.col("set"), F.col("group")]
+    left = placed.join(pairs.select("cluster", F.col("p").alias("block"), "q"), ["cluster", "block"]).select(F.col("block").alias("p"), "q", F.lit(0).alias("side"), *own)
+    right = pairs.where("p <> q").select("cluster", "p", F.col("q").alias("block"))
+    right = placed.join(right, ["cluster", "block"]).select("p", F.col("block").alias("q"), F.lit(1).alias("side"), *own)
+    return left.unionByName(right).groupBy("cluster", "p", "q").applyInArrow(_links(num, den), "a long, b long")
+
+
 def _blocks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """sets with a block each, some BLOCK sets of neighbouring sizes, and the pairs (cluster, p <= q) of blocks whose sizes may link."""
     upto = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, registry, secrets, suffix_dedup, toxicity
+from lexigrid.llm import common, embedding_dedup, jaccard_join, mixing, packing, pii, registry, secrets, signature_tree, suffix_dedup, toxicity
 from lexigrid.llm.common import components, shingle_set, word_hashes, words
 
 SF = "/root/testdata/sf0.001"
@@ -390,3 +390,46 @@ def test_pipeline(spark):
 
 def test_columns(spark):
     assert registry.QUERIES["op9_mixing"](spark, SF).where(F.col("target").isNull()).count() == 0
+
+
+# --- signature trees ----------------------------------------------------------------------------------------------------
+def test_signature_tree_prunes_inner_nodes():
+    """Disjoint sets, and sets that share less than it takes: few node pairs are met, and no leaf pair is decided."""
+    rng = np.random.default_rng(0)
+    some = lambda n: np.unique(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+    template = some(120)
+    for sets in ([some(50) for _ in range(1500)], [np.union1d(template, some(50)) for _ in range(1500)]):
+        seen = {}
+        assert signature_tree.linked(sets, None, 85, 100, seen=seen) == []
+        assert seen.get("leaves", 0) == 0 and seen["nodes"] < 1500 * 1499 / 2 / 10
+
+
+def test_signature_tree_brute_force():
+    rng = np.random.default_rng(1)
+    pool = [np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64)) for n in (3, 20, 21, 60, 300)]
+    sets = [np.unique(np.concatenate([p[rng.random(len(p)) > 0.06], rng.integers(0, 1 << 40, len(p) // 15, dtype=np.uint64)])) for p in pool for _ in range(30)]
+    sets = [s for s in sets if len(s)]
+    link = [(i, j) for i in range(len(sets)) for j in range(i) if signature_tree.similar(sets[i], sets[j], 80, 100)]
+    want = groups(len(sets), link)
+    cut = len(sets) // 3
+    both = [(x, y) for x, y in signature_tree.linked(sets[:cut], sets[cut:], 80, 100)]
+    inner = signature_tree.linked(sets[:cut], None, 80, 100) + [(cut + x, cut + y) for x, y in signature_tree.linked(sets[cut:], None, 80, 100)]
+    assert groups(len(sets), signature_tree.linked(sets, None, 80, 100)) == groups(len(sets), both + inner) == want
+    known = np.array(groups(len(sets), inner))
+    after = signature_tree.linked(sets[:cut], sets[cut:], 80, 100, known)
+    assert groups(len(sets), inner + after) == want and len(after) <= len(both)
+    assert 10 < len(set(want)) < len(sets) - 10
+
+
+def test_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    edges = [(0, k) for k in range(1, 300)] + [(k, 900) for k in range(500, 700)] + [(700, 701), (701, 702)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {k: 0 for k in range(300)} | {k: 500 for k in [*range(500, 700), 900]} | {k: 700 for k in (700, 701, 702)}
+
+
+def test_one_template_is_no_cluster(spark):
+    """Lines of one template whose own words make them differ: no two share a prefix shingle that counts, so none is read again."""
+    rows = [(k, f"dear customer {k}a your order {k}b of the {k}c day has been sent to {k}d and should reach you soon {k}e") for k in range(400)]
+    got = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k) for k in range(400)}

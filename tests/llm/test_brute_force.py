@@ -206,11 +206,44 @@ def test_whole_names_phones_and_scripts(spark):
 
 
 def test_more_names_than_short_surrogates(spark):
-    """20,000 family names: there are 17,408 names of the first attempt."""
-    names = spark.range(20_000).select(F.lit("last").alias("type"), F.translate(F.format_string("%05d", "id"), "0123456789", "qwzxpjkvbg").alias("canon"))
-    again = {r.canon: r.attempt for r in pii._attempts(names, "surrogates").collect()}
-    new = names.join(spark.createDataFrame(list(again.items()), "canon string, attempt int"), "canon", "left").select(pii.surrogate(F.struct("type", "canon"), F.coalesce("attempt", F.lit(0)), "surrogates").alias("new"))
-    assert new.distinct().count() == 20_000
+    """100,000 family names, where there are 17,408 of the first attempt, and 10,000 addresses, where there are 315: none shares a surrogate."""
+    wide = lambda c: F.translate(F.format_string("%05d", c), "0123456789", "qwzxpjkvbg")
+    names = spark.range(100_000).select(F.lit("last").alias("type"), wide("id").alias("canon"), F.lit("").alias("gender"))
+    mails = spark.range(10_000).select(F.lit("email").alias("type"), F.concat(wide("id"), F.lit("@b.com")).alias("canon"), F.lit("").alias("gender"))
+    mails = mails.withColumn("canon", F.regexp_replace("canon", "^(.).*(.)@", "$1@")).distinct().unionByName(mails)
+    parts = names.unionByName(mails).distinct()
+    again = pii._attempts(parts, "surrogates").select("type", "canon", "attempt")
+    new = parts.join(again, ["type", "canon"], "left").select("type", "canon", pii.surrogate(F.struct("type", "canon", "gender"), F.coalesce("attempt", F.lit(0)), "surrogates").alias("new"))
+    assert new.select("type", "new").distinct().count() == parts.count() and new.join(new.select("type", F.col("new").alias("canon")), ["type", "canon"], "left_semi").isEmpty()
+
+
+def test_coreference(spark, monkeypatch):
+    """One surrogate a name over titles, texts and forms, by the map and by the join alike; columns of all names pass through."""
+    t = [
+        "Mr. John Smith called (212) 555-7713. Later Smith said John was ill. Dr. John Smith agreed.",
+        "Prof John Miller and Mrs. Robin Miller; call +1 (212) 555-7713 or +12125557713. Dr. Robin Hale too.",
+        "From 2001:db8:0:1:1:1:1:1 and fe80::1ff:fe23:4567:890a at 12:30:45; a std::vector stays.",
+        *[f"Mr. John Q{chr(97 + k // 26)}{chr(97 + k % 26)} wrote" for k in range(400)],
+    ]
+    df = spark.createDataFrame([(k, x, k, k, k, k) for k, x in enumerate(t)], "doc_id long, text string, n_entities int, sha int, type int, canon int")
+    got = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(pii, "MAP_ROWS", most)
+        out = pii.anonymise(df)
+        assert out.columns == [*df.columns, "_n_entities"]
+        rows = sorted(out.collect(), key=lambda r: r.doc_id)
+        assert all(r.n_entities == r.sha == r.canon == r.doc_id for r in rows)
+        got.append([r.text for r in rows])
+    assert got[0] == got[1]
+    a = re.fullmatch(r"Mr\. (\w+) (\w+) called \((\d{3})\) (\d{3})-(\d{4})\. Later (\w+) said (\w+) was ill\. Dr\. (\w+) (\w+) agreed\.", got[0][0])
+    assert a and a[1] == a[7] == a[8] != "John" and a[2] == a[6] == a[9] != "Smith" and a[1].lower().endswith(tuple(pii.ENDINGS["latin", "m"]))
+    b = re.fullmatch(r"Prof (\w+) (\w+) and Mrs\. (\w+) (\w+); call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1(\d{10})\. Dr\. (\w+) (\w+) too\.", got[0][1])
+    assert b and b[1] == a[1] and b[2] == b[4] and b[3] == b[9] and b[3].lower().endswith(tuple(pii.ENDINGS["latin", "f"]))
+    assert b[8] == b[5] + b[6] + b[7] == a[3] + a[4] + a[5] != "2125557713"
+    c = re.fullmatch(r"From ([0-9a-f:]+) and ([0-9a-f:]+) at 12:30:45; a std::vector stays\.", got[0][2])
+    assert c and c[1] != "2001:db8:0:1:1:1:1:1" and c[1].count(":") == 7 and "::" in c[2] and c[2] != "fe80::1ff:fe23:4567:890a"
+    last = {x.split()[2] for x in got[0][3:]}
+    assert len(last) == 400 and {x.split()[1] for x in got[0][3:]} == {a[1]}
 
 
 def test_clean_texts_stay(spark, texts):

@@ -14,7 +14,7 @@ ROWS = [
     (6, "a plain text of a few words here", "en", "t", 1), (6, "a plain text of a few words here", "en", "t", 1), (6, "another text under one id", "en", "t", 1), (None, "no id at all", "en", "s", 1), (None, None, "en", "s", 1), (9, "x" * 50_000, "en", "s", 1), (10, "😀".encode("utf-16", "surrogatepass").decode("utf-16") + " \x00 İı ſ", "en", None, 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["score", "size", "node", "h", "ord", "row", "rep", "key", "id", "n", "__row", "__again", "__entities", "predicted", "component"]
+CLASH = ["score", "size", "node", "h", "ord", "row", "rep", "key", "id", "n", "__row", "__again", "__entities", "predicted", "component", "n_entities", "sha", "type", "canon", "n_low", "held_out", "ids", "v", "cell", "at"]
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,9 @@ from lexigrid.llm.common import components, table, written
 
 #: Distinct vectors of a label that a block, and so a tree, holds on average; slack for distances, whose rounding errors are smaller.
 BLOCK, SLACK = 4096, 1e-7
-_CELLS = 1 << 20
+#: Of a label of more nodes: nodes that its cells' centres are taken from, and cells, at most; nodes that a task assigns to cells on average.
+SAMPLE, CELLS, ASSIGN = 2048, 1024, 16384
+_TILE = 1 << 20
 
 
 class CoverTree:
@@ -64,6 +68,15 @@ class CoverTree:
     def _reach(self, c: int, points: np.ndarray) -> float:
         return float(np.sqrt(np.maximum(0, 2 - 2 * (self.unit[points] @ self.unit[c]))).max())
 
+    def top(self, n: int) -> list[int]:
+        """The centres of the top of the tree: from the root down the widest node gives way to its children, until there are n."""
+        front = [(-self.radius[self.root], self.root)]
+        while len(front) < n and front[0][0] < 0:
+            _, k = heapq.heappop(front)
+            for c in self.children[k].tolist():
+                heapq.heappush(front, (-self.radius[c], c))
+        return sorted({int(self.centre[k]) for _, k in front})
+
     def points(self, k: int) -> np.ndarray:
         out, todo = [], [k]
         while todo:
@@ -88,7 +101,7 @@ def dual(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, least
     stack = [(np.array([a.root]), np.array([b.root]), same)]
     while stack:
         i, j, sym = stack.pop()
-        step = max(1, _CELLS // len(j))
+        step = max(1, _TILE // len(j))
         if len(i) > step:
             stack += [(i[k : k + step], j, sym) for k in range(0, len(i), step)]
             continue
@@ -153,14 +166,66 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _units(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as they are, and of length 1."""
+    raw = np.asarray(part["v"].combine_chunks().flatten(), np.float64).reshape(part.num_rows, -1)
+    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw, unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
+def _centres(part: pa.Table) -> pa.Table:
+    """A label's sample -> its cells' centres: the top of the sample's cover tree, as many as cells says (equal sizes: fewer)."""
+    part = part.sort_by("node")
+    _, unit = _units(part)
+    top = CoverTree(unit, np.ones(len(unit))).top(part["cells"][0].as_py())
+    same = lambda c: pa.array([part[c][0].as_py()] * len(top), part[c].type)
+    centre = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit[top].ravel()))
+    return pa.table({"label": same("label"), "dim": same("dim"), "cell": np.arange(len(top), dtype=np.int32), "v": centre})
+
+
+def _assign(least: float):
+    t = float(np.sqrt(2 - 2 * least))
+
+    def assign(part: pa.Table) -> pa.Table:
+        """Points (cell null) and centres of a label -> each point's cell, its distance from the centre, and the later cells that may hold a partner.
+
+        A partner is nearer than t, and its own centre is its nearest: so of a partner's cell the centre is no farther from the point than 2 t more
+        than its own cell's.
+        """
+        centre = np.asarray(part["cell"].is_valid())
+        _, unit = _units(part)
+        points, middle = part.filter(pa.array(~centre)), part.filter(pa.array(centre))
+        order = np.argsort(np.asarray(middle["cell"], np.int64))
+        c = unit[centre][order]
+        cells, reach, visits, ends = [], [], [], [0]
+        step = max(1, _TILE // max(1, len(c)))
+        x = unit[~centre]
+        for k in range(0, len(x), step):
+            d = np.sqrt(np.maximum(0, 2 - 2 * (x[k : k + step] @ c.T)))
+            own = d.argmin(axis=1)
+            near = d[np.arange(len(d)), own]
+            row, q = np.nonzero((d <= near[:, None] + 2 * t + SLACK) & (np.arange(len(c))[None, :] > own[:, None]))
+            cells.append(own)
+            reach.append(near)
+            visits.append(np.stack([q, d[row, q]], axis=1))
+            ends += (ends[-1] + np.searchsorted(row, np.arange(1, len(d) + 1))).tolist()
+        visit = np.concatenate(visits) if visits else np.zeros((0, 2))
+        ends = pa.array(np.array(ends, np.int32))
+        return pa.table(
+            [points[k] for k in ("label", "dim", "node", "size", "v")]
+            + [pa.array(np.concatenate(cells or [np.zeros(0)]).astype(np.int32)), pa.array(np.concatenate(reach or [np.zeros(0)]))]
+            + [pa.ListArray.from_arrays(ends, pa.array(visit[:, 0].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(visit[:, 1]))],
+            names=["label", "dim", "node", "size", "v", "cell", "reach", "visits", "far"],
+        )
+
+    return assign
+
+
 def _meet(least: float):
     def meet(part: pa.Table) -> pa.Table:
         part = part.sort_by("node")
         node, size, side = (np.asarray(part[k]) for k in ("node", "size", "side"))
-        raw = np.asarray(part["v"].combine_chunks().flatten(), np.float64).reshape(part.num_rows, -1)
-        scale = np.abs(raw).max(axis=1, keepdims=True)
-        unit = raw / scale
-        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        raw, unit = _units(part)
         at = [np.flatnonzero(side == k) for k in (0, 1)]
         ids, got, links = [], [], []
         if len(at[0]) and (len(at[1]) or not (side == 1).any()):
@@ -181,26 +246,73 @@ def _meet(least: float):
     return meet
 
 
+def _celled(nodes: DataFrame, labels: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """nodes (label, dim, node, size, v) -> (label, dim, cell, node, size, v): at home in a cell, and visiting cells that may hold partners.
+
+    Labels of one block are one cell. Of a larger one (labels: label, dim, n) a sample's cover tree gives the cells' centres; every node is
+    at home with its nearest centre, and visits those later cells that the covering radius and its own distances leave.
+    """
+    kept = ["label", "dim", "cell", "node", "size", "v"]
+    large = labels.where(F.col("n") > BLOCK).select("label", "dim", "n")
+    small = nodes.join(large, ["label", "dim"], "left_anti").withColumn("cell", F.lit(0)).select(kept)
+    if large.isEmpty():
+        return small, small.where("false")
+    own = nodes.join(F.broadcast(large) if large.count() <= 100_000 else large, ["label", "dim"])
+    share = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cells = F.least(F.lit(CELLS), F.ceil(2 * F.col("n") / BLOCK)).cast("int").alias("cells")
+    sample = own.where(share < F.lit(float(SAMPLE)) / F.col("n")).select("label", "dim", "node", "v", cells)
+    at = f"label {dict(nodes.dtypes)['label']}, dim int"
+    centres = written(sample.groupBy("label", "dim").applyInArrow(_centres, f"{at}, cell int, v array<double>"), "cover-centres")
+    # by chance a label may have no sample: it stays one cell
+    none = large.join(centres.select("label", "dim").distinct(), ["label", "dim"], "left_anti")
+    small = small.unionByName(nodes.join(none, ["label", "dim"], "left_semi").withColumn("cell", F.lit(0)).select(kept))
+    salts = F.ceil(F.col("n") / ASSIGN).cast("int")
+    every = centres.join(large, ["label", "dim"]).select("label", "dim", "cell", "v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    points = own.join(none.select("label", "dim"), ["label", "dim"], "left_anti").select("label", "dim", "node", "size", "v", F.pmod(F.xxhash64("node", F.lit(13)), salts).cast("int").alias("salt"))
+    both = points.withColumn("cell", F.lit(None).cast("int")).unionByName(every.withColumn("node", F.lit(0).cast("long")).withColumn("size", F.lit(0).cast("long")))
+    schema = f"{at}, node long, size long, v array<double>, cell int, reach double, visits array<int>, far array<double>"
+    homes = written(both.groupBy("label", "dim", "salt").applyInArrow(_assign(least), schema), "cover-homes")
+    radius = homes.groupBy("label", "dim", "cell").agg(F.max("reach").alias("radius"))
+    to = F.explode(F.arrays_zip("visits", "far")).alias("to")
+    guests = homes.select("label", "dim", "node", "size", "v", to).select("label", "dim", F.col("to.visits").alias("cell"), "node", "size", "v", F.col("to.far").alias("far"))
+    guests = guests.join(F.broadcast(radius) if radius.count() <= 100_000 else radius, ["label", "dim", "cell"])
+    t = float(np.sqrt(2 - 2 * least))
+    return small.unionByName(homes.select(kept)), guests.where(F.col("far") <= F.col("radius") + t + SLACK).select(kept)
+
+
 def near_duplicates(vectors: DataFrame, least: float) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept, over links of cosine >= least between equal labels.
 
     A row whose label is null, or whose vector is null, empty, zero or holds null or non-finite components, links with nothing, nor do
-    vectors of different lengths. Equal vectors of one label are one node with a count, so that copies are never paired. A
-    label's nodes are dealt to blocks of BLOCK on average, and each two blocks meet in a task, as cover trees: tasks stay the same size,
-    whatever share a label has. Tasks return sums of partners and a spanning set of links, not pairs. Repeated rows
-    count as vectors of their own.
+    vectors of different lengths. Equal vectors of one label are one node with a count, so that copies are never paired. A label's nodes are
+    dealt to cells of the top of one cover tree; a node visits other cells only where radii and distances leave room for a partner. Each cell's
+    nodes meet in blocks of BLOCK on average, as cover trees, a pair of blocks in a task: tasks stay the same size, whatever share a label or
+    cell has. Tasks return sums of partners and a spanning set of links, not pairs. Repeated rows count as vectors of their own; an empty
+    table gives no rows; other columns, whatever their names, play no part.
     """
     good = "label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
     rows = vectors.select("vec_id", "embedding", "label").withColumn("node", F.when(F.expr(good), F.xxhash64("label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))))
     rows = rows.withColumn("dim", F.size("embedding"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("embedding").cast("array<double>").alias("v"), F.count("*").alias("size"), F.min("vec_id").alias("vec_id"))
     nodes = written(nodes, "cover-nodes")
-    blocks = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    placed = nodes.join(F.broadcast(blocks) if blocks.count() <= 100_000 else blocks, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    # block k meets every block: as the left side those after it, as the right side those before it, and itself
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("label", "dim", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "size", "v")
-    found = written(met.groupBy("label", "dim", "p", "q").applyInArrow(_meet(least), "a long, b long, n long"), "cover-links")
+    labels = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    homes, guests = _celled(nodes.select("label", "dim", "node", "size", "v"), labels, least)
+    cell = ["label", "dim", "cell"]
+    n_blocks = lambda name: F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias(name)
+    blocks = homes.groupBy(*cell).agg(n_blocks("blocks")).join(guests.groupBy(*cell).agg(n_blocks("guests")), cell, "left").fillna(0, ["guests"])
+    blocks = written(blocks, "cover-blocks")
+    few = blocks.count() <= 100_000
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    homes, guests = (x.join(F.broadcast(blocks) if few else blocks, cell).withColumn("own", own(n)) for x, n in ((homes, "blocks"), (guests, "guests")))
+    every = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))).alias("other")
+    held = ["node", "size", "v"]
+    # home block k meets every home block: as the left side those after it, as the right side those before it, and itself
+    within = homes.select(*cell, "own", every("blocks"), *held)
+    within = within.select(*cell, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), *held)
+    hosts = homes.select(*cell, F.col("own").alias("p"), every("guests"), *held).select(*cell, "p", (-1 - F.col("other")).alias("q"), F.lit(0).alias("side"), *held)
+    callers = guests.select(*cell, every("blocks"), (-1 - F.col("own")).alias("q"), *held).select(*cell, F.col("other").alias("p"), "q", F.lit(1).alias("side"), *held)
+    met = within.unionByName(hosts).unionByName(callers)
+    found = written(met.groupBy(*cell, "p", "q").applyInArrow(_meet(least), "a long, b long, n long"), "cover-links")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("partners")).withColumnRenamed("a", "node")
     group = components(found.where("n = 0").select("a", "b"), "cover-components").select(F.col("id").alias("node"), F.col("component").alias("group"))
     named = nodes.select("node", "size", "vec_id").join(counts, "node", "left").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))

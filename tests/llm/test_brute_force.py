@@ -345,6 +345,23 @@ def test_cover_tree_blocks(spark, monkeypatch, block):
     assert got == {k: (int(near[k].sum()), want[k]) for k in range(len(v))} and near.sum() > 50
 
 
+def test_cells_leave_far_blocks_out(spark, monkeypatch):
+    """Well-parted groups: few nodes visit another cell, and the counts stay exact."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((10, 64))
+    v = np.repeat(centre, 60, axis=0) + 0.08 * rng.standard_normal((600, 64))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    df = spark.createDataFrame([(k, [float(x) for x in v[k]], 1) for k in range(600)], "vec_id long, embedding array<double>, label int")
+    nodes = df.select("label", F.size("embedding").alias("dim"), F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("size"), F.col("embedding").alias("v"))
+    homes, guests = embedding_dedup._celled(nodes, nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), 0.93)
+    cells = homes.select("cell").distinct().count()
+    assert homes.count() == 600 and cells >= 10 and guests.count() < 600 * (cells - 1) / 2 / 8  # a tenth of the cells are a group's own
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, 0.93).collect()}
+    assert got == {k: int(near[k].sum()) - 1 for k in range(600)} and near.sum() > 6000
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 def filled(sizes, weights, ceiling=3.0):
     """Targets by repeated resharing."""

@@ -15,9 +15,9 @@ from lexigrid.llm.common import table
 FAN_IN = 16
 
 
-def top_pairs(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, score) of each row's k highest scores, ties to smaller ids; a row's own id (own) is no candidate. ids must ascend."""
-    scores = np.where(own[:, None] == ids[None, :], -np.inf, scores)
+def top_pairs(scores: np.ndarray, ids: np.ndarray, out: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of each row's k highest scores, ties to smaller ids; what out marks is no candidate. ids must ascend."""
+    scores = np.where(out, -np.inf, scores)
     if len(ids) > k:
         least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]  # partial selection: the k-th highest
         row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
@@ -28,7 +28,7 @@ def top_pairs(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> t
     row, col, value = row[order], col[order], value[order]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
     keep = nth < k
-    return row[keep], ids[col[keep]], value[keep]
+    return row[keep], col[keep], value[keep]
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -36,24 +36,31 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = 2048, shard: int = 16384, tile: int = 4096) -> DataFrame:
-    """For each of queries (vec_id, v array<double>) the k rows of vectors (vec_id, v) with the highest inner products.
-
-    Returns query_id, rank (from 1), vec_id, score (double). Ties go to the smaller vec_id; a query's own vec_id is no
-    candidate; fewer candidates give fewer rows. Null vectors and vectors with null or non-finite components take no part, nor
-    do vectors of another length than the query's. Queries are dealt to blocks and vectors to shards by a hash, so that a
-    task holds one block and one shard at most; blocks and shards grow in number with the data, never in size. Repeated
-    vec_ids count once, as the first in the order of their components.
+    """For each row of queries (vec_id, v array<double>) the k rows of vectors (vec_id, v) with the highest inner products.
+
+    Returns query_id, rank (from 1), vec_id, score (double). Ties go to the smaller vec_id; the query's own row, one of its id and its vector, is
+    no candidate; fewer candidates give fewer rows. Null vectors and vectors with null or non-finite components take no part, nor do vectors of
+    another length than the query's; an empty table gives no rows; other columns, whatever their names, play no part. Queries are dealt to
+    blocks and vectors to shards by a hash, so that a task holds one block and one shard at most; blocks and shards grow in number with the
+    data, never in size. Repeated vec_ids are rows of their own: only where there are some, rows of one id and one vector are made one, with
+    their number, and candidates and results repeat as often.
     """
-    def usable(df: DataFrame) -> DataFrame:
-        fit = df.where("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
-        return fit.groupBy("vec_id").agg(F.min("v").alias("v"))
+    fit = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
+
+    def usable(df: DataFrame) -> tuple[DataFrame, bool]:
+        rows = df.where(fit).select("vec_id", "v", F.xxhash64("vec_id", "v").alias("own"))
+        once = rows.groupBy("vec_id").count().where("count > 1").isEmpty()
+        whole = rows.groupBy("own").agg(F.first("vec_id").alias("vec_id"), F.first("v").alias("v"), F.count("*").alias("times"))
+        return (rows.withColumn("times", F.lit(1).cast("long")) if once else whole), once
 
-    q, c = usable(queries), usable(vectors)
-    n_q, n_c = q.count(), c.count()
+    (asked, once), (c, simple) = usable(queries), usable(vectors)
+    n_q, n_c = asked.count(), c.count()
     blocks, shards = max(1, -(-n_q // query_block)), max(1, -(-n_c // shard))
-    dim = F.size("v").alias("dim")
-    q = q.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"))
-    c = c.select("vec_id", "v", dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod("own", F.lit(n)).cast("int")
+    held = ["vec_id", "v", "own", "times", F.size("v").alias("dim")]
+    q = asked.select(*held, deal(blocks).alias("block"), every(shards).alias("shard"), F.lit(True).alias("asks"))
+    c = c.select(*held, every(blocks).alias("block"), deal(shards).alias("shard"), F.lit(False).alias("asks"))
 
     def tiles(part: pa.Table) -> pa.Table:
         out = []
@@ -61,27 +68,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = 204
         part_q, part_c = part.filter(pa.array(asks)), part.filter(pa.array(~asks)).sort_by("vec_id")
         if part_q.num_rows and part_c.num_rows:
             a, b = (_matrix(t["v"].combine_chunks(), t.num_rows) for t in (part_q, part_c))
-            asked, ids = np.asarray(part_q["vec_id"]), np.asarray(part_c["vec_id"])
+            (asked, own_q), (ids, own_c) = ((np.asarray(t["vec_id"]), np.asarray(t["own"])) for t in (part_q, part_c))
+            times = np.asarray(part_c["times"])
             step = max(1, (1 << 21) // max(1, min(tile, len(b))))
             for i in range(0, len(a), step):
                 for j in range(0, len(b), tile):
-                    row, vec, score = top_pairs(a[i : i + step] @ b[j : j + tile].T, ids[j : j + tile], asked[i : i + step], k)
-                    out.append((asked[i : i + step][row], vec, score))
-        cols = [np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in enumerate((np.int64, np.int64, np.float64))]
+                    mine = own_q[i : i + step, None] == own_c[None, j : j + tile]
+                    row, col, score = top_pairs(a[i : i + step] @ b[j : j + tile].T, ids[j : j + tile], mine & (times[None, j : j + tile] == 1), k)
+                    out.append((own_q[i + row], asked[i + row], ids[j + col], score, times[j + col] - mine[row, col]))
+        kinds = (np.int64, np.int64, np.int64, np.float64, np.int64)
+        cols = [np.concatenate([x[n] for x in out]) if out else np.zeros(0, t) for n, t in enumerate(kinds)]
         shard_no = part["shard"][0].as_py() if part.num_rows else 0
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2], "node": np.full(len(cols[0]), shard_no, np.int32)})
+        return pa.table([*cols, np.full(len(cols[0]), shard_no, np.int32)], names=["own", "query_id", "vec_id", "score", "times", "node"])
 
     both = q.unionByName(c)
-    lists = both.groupBy("dim", "block", "shard").applyInArrow(tiles, "query_id long, vec_id long, score double, node int")
-    width = shards
+    lists = both.groupBy("dim", "block", "shard").applyInArrow(tiles, "own long, query_id long, vec_id long, score double, times long, node int")
+    width, entry = shards, F.struct((-F.col("score")).alias("cost"), "vec_id", "times")
     while True:  # each step merges the lists of FAN_IN neighbouring nodes
         width = -(-width // FAN_IN)
-        lists = lists.groupBy("query_id", (F.col("node") / FAN_IN).cast("int").alias("node")).agg(
-            F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("vec_id").alias("vec_id")))), 1, k).alias("best")
-        )
+        best = F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best")
+        lists = lists.groupBy("own", "query_id", (F.col("node") / FAN_IN).cast("int").alias("node")).agg(best)
         if width <= 1:
             break
-        lists = lists.select("query_id", "node", F.explode("best").alias("x")).select("query_id", F.col("x.vec_id"), (-F.col("x.cost")).alias("score"), "node")
+        lists = lists.select("own", "query_id", "node", F.explode("best").alias("x"))
+        lists = lists.select("own", "query_id", F.col("x.vec_id"), (-F.col("x.cost")).alias("score"), F.col("x.times"), "node")
+    if not simple:
+        several = F.flatten(F.transform("best", lambda x: F.array_repeat(x, F.least(x["times"], F.lit(k)).cast("int"))))
+        lists = lists.withColumn("best", F.slice(several, 1, k))
+    if not once:
+        lists = lists.join(asked.select("own", F.col("times").alias("copies")), "own")
+        lists = lists.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return lists.select("query_id", F.posexplode("best").alias("pos", "x")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.cost")).alias("score")
     )

@@ -102,7 +102,25 @@ def test_vectors(spark):
     assert by[1] == (4, 1, True) and by[2] == (4, 1, False) and by[11] == (4, 1, False) and by[13] == (4, 1, False)
     assert all(by[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10, 12))
     assert embedding_dedup.near_duplicates(v.where("false"), 0.93).collect() == []
-    q = v.select("vec_id", F.col("embedding").alias("v"))
-    top = topk_search.top_k(q, q.where("vec_id in (1, 3, 10)"), 2).collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(top, key=lambda r: (r.query_id, r["rank"]))] == [(1, 1, 2), (1, 2, 8)]
-    assert topk_search.top_k(q.where("false"), q, 2).collect() == []
+    assert embedding_dedup.near_duplicates(v.select("*", *[F.lit("x").alias(c) for c in CLASH if c != "v"]), 0.93).count() == len(VECTORS)
+    q = v.select("vec_id", F.col("embedding").alias("v")).select("*", *[F.lit("x").alias(c) for c in [*CLASH, "own", "times", "block", "shard"] if c != "v"])
+    top = topk_search.top_k(q, q.where("vec_id in (1, 3, 10)"), 3).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(top, key=lambda r: (r.query_id, r["rank"]))] == [(1, 1, 2), (1, 2, 2), (1, 3, 8)]
+    assert topk_search.top_k(q.where("false"), q, 2).collect() == [] == topk_search.top_k(q, q.where("false"), 2).collect()
+
+
+@pytest.mark.parametrize("shard", [3, 16384])
+def test_top_k_with_repeated_ids(spark, shard):
+    """Every row but the query's own is a candidate, also one of the query's id; rows of one id and one vector stay as many as they are."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 2)]) for i in rng.integers(0, 12, 60)] + [(1, [3.0, 3.0])] * 4
+    asks = [k for k, r in enumerate(rows) if r[0] % 4 == 1]
+    want = []
+    for k in asks:
+        found = sorted((-sum(x * y for x, y in zip(rows[k][1], v, strict=True)), i) for n, (i, v) in enumerate(rows) if n != k)[:5]
+        want += [(rows[k][0], rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = [tuple(r) for r in topk_search.top_k(df, df.where("vec_id % 4 = 1"), 5, 4, shard, 2).collect()]
+    assert sorted(got) == sorted(want)

@@ -83,6 +83,44 @@ def test_secret_battery(spark):
     assert sum(got[k] for k in range(len(real), len(rows))) <= 1
 
 
+def test_secret_discoveries(spark):
+    """Benjamini and Hochberg over the battery's own p-values of distinct tokens, sorted, beside the histogram; copies of a text change nothing."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(["tion", "er", "an", "ing", "ch", "Ein", "les", "Que", "12", "der"], 7))
+    tokens = [word() for _ in range(300)] + ["".join(rng.choice(list(a), int(rng.integers(16, 70)))) for a in secrets.ENCODINGS.values() for _ in range(12)]
+    tokens = [t for t in tokens if len(t) >= 16]
+    rows = [(k, f"so {t}, {t}") for k, t in enumerate(tokens)] + [(10_000 + k, f"so {tokens[0]}") for k in range(200)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tests = {t: secrets.battery(t) for t in set(tokens) if not secrets.base_spans(t) and secrets.battery(t)}
+    found = set()
+    for c in range(len(secrets.CLASSES)):
+        ps = sorted((10 ** -(secrets.cell(*p) / secrets.STEP), t) for t, p in tests.items() if secrets.length_class(len(t)) == c)
+        last = max([i for i, (p, _) in enumerate(ps, 1) if p <= secrets.FDR * i / len(ps)], default=0)
+        found |= {t for _, t in ps[:last]}
+    assert 20 < len(found) < len(tests) - 50
+    for k, t in enumerate(tokens):
+        want = [(m.start(), 3, m.end()) for m in re.finditer(re.escape(t), rows[k][1])] if t in found else []
+        assert got[k].spans == secrets._listed(sorted(secrets.base_spans(rows[k][1]) + want)) and got[k].n_random == len(want)
+    assert sum(t in found for t in tokens[:300]) <= 3
+
+
+def test_secret_recall():
+    """The share of random tokens that would be found among as many written ones, by encoding and length (README has the table)."""
+    rng = np.random.default_rng(11)
+    share = lambda e, n: np.mean([secrets.cell(*(secrets.battery("".join(rng.choice(list(secrets.ENCODINGS[e]), n))) or (1, 1))) >= 2 * secrets.STEP for _ in range(200)])
+    for e, least in {"base62": (0.8, 0.95, 0.99), "base64": (0.85, 0.95, 0.99), "HEX": (0.65, 0.85, 0.95), "base36": (0.5, 0.75, 0.9), "base32": (0.35, 0.65, 0.85), "base26": (0.1, 0.3, 0.5)}.items():
+        assert all(share(e, n) >= x for n, x in zip((16, 24, 32), least, strict=True)), e
+
+
+def test_base_spans_in_long_texts():
+    """Which tokens a span covers is found without looking at all spans of the text."""
+    import time
+
+    text = "token=abcdef1 x9Kq2Lm8Zp4Rt7Vb3 " * 20_000
+    base, began = secrets.base_spans(text), time.time()
+    assert len(base) == 20_000 == len(secrets.tested(text[:3200], base[:100])) * 200 and time.time() - began < 5
+
+
 def test_secret_query(spark, texts):
     for r in registry.QUERIES["op1_secrets"](spark, SF).collect():
         t = texts[r.doc_id].text or ""

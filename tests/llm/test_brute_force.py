@@ -142,6 +142,59 @@ def test_toxicity_held_out(spark):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.9
 
 
+def test_toxicity_scores(spark, texts):
+    """Scores from n-grams cut out of the text one by one, and counts of documents, ratios and sums written out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(900, "Ünïcödé ДА да 漢字 漢字"), (901, ""), (902, None), (903, "a")], "doc_id long, text string"))
+
+    def cells(text):
+        plain, out = " " + " ".join((text or "").lower().split()) + " " if text else "", set()
+        for n in toxicity.SIZES:
+            for i in range(len(plain) - n + 1):
+                h = ord(plain[i])
+                for k in range(1, n):
+                    h = (h * 16777619 + ord(plain[i + k]) + k + 1) % 2**32
+                out.add((h * 2654435761 % 2**32) >> (32 - toxicity.BITS))
+        return out
+
+    weights = np.random.default_rng(2).standard_normal(1 << toxicity.BITS).astype(np.float32) * 0.01
+    got = {r.doc_id: r.score for r in toxicity.score(docs, (weights, -0.5), ["doc_id"]).collect()}
+    known = {k: cells(r.text) for k, r in texts.items()} | {900: cells("Ünïcödé ДА да 漢字 漢字"), 901: set(), 902: set(), 903: cells("a")}
+    for k, c in known.items():
+        assert got[k] == pytest.approx(1 / (1 + math.exp(0.5 - sum(float(weights[i]) for i in sorted(c)))), rel=1e-6), k
+    df = np.zeros((2, 1 << toxicity.BITS), int)
+    for k in range(40):
+        df[k % 3 == 0, sorted(known[k])] += 1
+    ratio = toxicity.scaled_ratios(df, [26, 14])
+    for i in sorted(set.union(*(known[k] for k in range(40))))[::500]:
+        p, q = df[1, i] + 0.5, df[0, i] + 0.5
+        r = math.log(p / 15) - math.log(q / 27)
+        want = r * min(1, abs(r) / math.sqrt(1 / p + 1 / q) / toxicity.WHOLE) if df[:, i].sum() >= toxicity.LEAST else 0
+        assert ratio[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_fit_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 300, 40)).astype(np.int32) for _ in range(80)]
+    y = np.array([float(len(r) and (r < 20).sum() + rng.random() > 3) for r in rows])
+    ratio = np.zeros(1 << toxicity.BITS, np.float32)
+    ratio[:300] = rng.standard_normal(300)
+    sample = toxicity.Sample(rows)
+    w, b = toxicity.fit(sample, y, ratio, steps=400)
+
+    def loss(w, b):
+        z = np.array([w[r].sum() for r in rows]) + b
+        each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        v = np.divide(w[:300], ratio[:300])
+        return (each * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (v @ v) / len(y)
+
+    w, best = w.astype(float), None
+    best = loss(w, b)
+    for _ in range(60):
+        d = np.zeros_like(w)
+        d[:300] = rng.standard_normal(300) * ratio[:300] * 0.02
+        assert loss(w + d, b + 0.02 * rng.standard_normal()) > best - 0.002
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------------
 def check_packing(rows, texts, tok):
     by_doc, by_seq = defaultdict(list), defaultdict(list)

@@ -67,26 +67,26 @@ def scaled_ratios(df: np.ndarray, docs: list[int]) -> np.ndarray:
 class Sample:
     """Texts as rows of cells in flat arrays: products with a vector of cells, and back, CHUNK features at a time."""
 
-    def __init__(self, rows: list[np.ndarray]) -> None:
-        self.ends = np.cumsum([0] + [len(r) for r in rows])
-        self.cells = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    def __init__(self, cells: np.ndarray, lengths: np.ndarray) -> None:
+        self.ends, self.cells = np.concatenate([[0], np.cumsum(lengths)]), cells
         cuts = np.searchsorted(self.ends, np.arange(CHUNK, self.ends[-1] + CHUNK, CHUNK), side="right") - 1
-        self.cuts = np.unique(np.concatenate([[0], cuts, [len(rows)]]))
+        self.cuts = np.unique(np.concatenate([[0], cuts, [len(lengths)]]))
 
     def sums(self, v: np.ndarray) -> np.ndarray:
         """Each row's sum of v over its cells."""
-        out = np.zeros(len(self.ends) - 1)
+        out, v = np.zeros(len(self.ends) - 1), v.astype(np.float32)
+        full = np.diff(self.ends) > 0
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            upto = np.concatenate([[0.0], np.cumsum(v[self.cells[self.ends[a] : self.ends[b]]], dtype=np.float64)])
-            out[a:b] = upto[self.ends[a + 1 : b + 1] - self.ends[a]] - upto[self.ends[a:b] - self.ends[a]]
+            if (some := np.flatnonzero(full[a:b]) + a).size:
+                each = v.take(self.cells[self.ends[a] : self.ends[b]])
+                out[some] = np.add.reduceat(each, self.ends[some] - self.ends[a])
         return out
 
     def back(self, e: np.ndarray) -> np.ndarray:
         """Each cell's sum of e over the rows that have it."""
-        out = np.zeros(1 << BITS)
+        out, size = np.zeros(1 << BITS), np.diff(self.ends)
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            each = np.repeat(e[a:b], np.diff(self.ends[a : b + 1]))
-            out += np.bincount(self.cells[self.ends[a] : self.ends[b]], weights=each, minlength=1 << BITS)
+            out += np.bincount(self.cells[self.ends[a] : self.ends[b]], weights=np.repeat(e[a:b], size[a:b]), minlength=1 << BITS)
         return out
 
 
@@ -157,8 +157,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, codec = sorted(r for b in batches for r in zip(b["n"].to_pylist(), b["f"].to_pylist(), b["y"].to_pylist(), strict=True)), pa.Codec("zstd")
-        cells = [np.cumsum(np.frombuffer(codec.decompress(f, 4 * n, asbytes=True), np.int32), dtype=np.int32) for n, f, _ in got]
-        w, b = fit(Sample(cells), np.array([r[2] for r in got], float), np.frombuffer(sent.value, np.float32))
+        y, n = np.array([r[2] for r in got], float), np.array([r[0] for r in got])
+        cells, at = np.empty(n.sum(), np.int32), 0
+        got.reverse()
+        while got:  # a text's compressed form is given up as its cells take their place
+            k, f, _ = got.pop()
+            np.cumsum(np.frombuffer(codec.decompress(f, 4 * k, asbytes=True), np.int32), out=cells[at : at + k])
+            at += k
+        w, b = fit(Sample(cells, n), y, np.frombuffer(sent.value, np.float32))
         yield pa.record_batch({"w": pa.array([w.tobytes()], pa.binary()), "b": pa.array([b])})
 
     learnt = sample.mapInArrow(released(rows), "f binary, n int, y int").repartition(1).mapInArrow(released(learn), "w binary, b double").collect()[0]

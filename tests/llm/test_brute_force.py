@@ -163,7 +163,7 @@ def test_toxicity_scores(spark, texts):
         assert got[k] == pytest.approx(1 / (1 + math.exp(0.5 - sum(float(weights[i]) for i in sorted(c)))), rel=1e-6), k
     df = np.zeros((2, 1 << toxicity.BITS), int)
     for k in range(40):
-        df[k % 3 == 0, sorted(known[k])] += 1
+        df[int(k % 3 == 0), sorted(known[k])] += 1
     ratio = toxicity.scaled_ratios(df, [26, 14])
     for i in sorted(set.union(*(known[k] for k in range(40))))[::500]:
         p, q = df[1, i] + 0.5, df[0, i] + 0.5
@@ -178,7 +178,7 @@ def test_toxicity_fit_is_at_its_optimum():
     y = np.array([float(len(r) and (r < 20).sum() + rng.random() > 3) for r in rows])
     ratio = np.zeros(1 << toxicity.BITS, np.float32)
     ratio[:300] = rng.standard_normal(300)
-    sample = toxicity.Sample(rows)
+    sample = toxicity.Sample(np.concatenate(rows), np.array([len(r) for r in rows]))
     w, b = toxicity.fit(sample, y, ratio, steps=400)
 
     def loss(w, b):

@@ -7,7 +7,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.storage import written
@@ -129,49 +129,35 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-#: Rows of one key, or a share of all rows, from which a join broadcasts what it is joined with.
-HOT, HOT_SHARE = 1000, 1e-5
-
-
 def join_heads(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
-    """rows joined by key with heads, which have one row a key and in c how many of rows have it. Heads of hot keys, 1 / HOT_SHARE at most, are
-    broadcast, so that no task gets a hot key's rows."""
-    heads = written(heads, "heads")
-    total = heads.agg(F.sum("c")).first()[0] or 0
-    least = max(HOT, int(total * HOT_SHARE))
-    if heads.where(F.col("c") >= least).isEmpty():
-        return rows.join(heads, key)
-    hot = F.broadcast(heads.where(F.col("c") >= least))
-    rest = rows.join(hot.select(key), key, "left_anti").join(heads.where(F.col("c") < least), key)
-    return rows.join(hot, key).unionByName(rest)
+    """rows joined by key with heads, which have one row a key: written first, so that the planner knows their size, and broadcasts them where
+    they are few, or else splits a hot key's rows as it runs (a join that reads two plain exchanges can be dealt anew)."""
+    return rows.join(written(heads, "heads"), key)
 
 
 def components(edges: DataFrame, what: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): (id, component), component the smallest id that links reach.
 
     Alternating large-star and small-star steps; each keeps connectivity, and their number grows with the logarithm of the graph's size. A
-    node's smallest neighbour is found with a partial aggregation and goes to a hub's edges by a broadcast, so that a node of many edges is no
+    node's smallest neighbour is found with a partial aggregation and joined to its edges as join_heads() does, so that a node of many edges is no
     hot key; the steps' tables are written to the shared folder. Rows with a null or equal ends are no edges. Ids without edges have no row.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{what}-edges"
-    )
-    low = F.min("b").alias("m"), F.count("*").alias("c")
+    first = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, after = _noted(first, f"{what}-edges")
     for _ in range(rounds):
-        before = now
+        before, known = now, after
         # large star: every larger neighbour of a node links to the smallest of the node and its neighbours
         both = before.unionByName(before.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(*low).withColumn("m", F.least("a", "m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = join_heads(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = written(large.distinct(), f"{what}-large")
         # small star: every smaller neighbour of a node, and the node, link to the smallest of them
-        least = large.groupBy("a").agg(*low)
-        small = join_heads(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{what}-edges")
-        same = _digest(now) == _digest(before)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = join_heads(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        now, after = _noted(small.where("a <> b").distinct(), f"{what}-edges")
         discard(before)
         discard(large)
-        if same:
+        if after == known:
             break
     else:
         raise RuntimeError(f"no fixed point in {rounds} rounds")
@@ -181,5 +167,9 @@ def components(edges: DataFrame, what: str, rounds: int = 60) -> DataFrame:
     )
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _noted(edges: DataFrame, what: str) -> tuple[DataFrame, dict]:
+    """edges written, and a digest of them that is taken as they are."""
+    seen = Observation()
+    sums = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.bit_xor(F.xxhash64("b", "a")).alias("x")
+    out = written(edges.observe(seen, *sums), what)
+    return out, seen.get

@@ -117,7 +117,22 @@ def _links(num: int, den: int):
         n, ids = int((side == 0).sum()), ids[place]
         same = part["p"][0].as_py() == part["q"][0].as_py()
         found = linked(sets[:n], None if same else sets[n:], num, den, np.asarray(part["group"])[place])
-        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
+        # what the links connect, as stars: fewer steps to the whole's components
+        head = list(range(len(ids)))
+        for x, y in found:
+            while head[x] != x:
+                x = head[x]
+            while head[y] != y:
+                y = head[y]
+            head[max(x, y)] = min(x, y)
+        ends = []
+        for x in sorted({z for link in found for z in link}):
+            top = x
+            while head[top] != top:
+                top = head[top]
+            if top != x:
+                ends.append((ids[top], ids[x]))
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.int64()), "b": pa.array([y for _, y in ends], pa.int64())})
 
     return meet
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,29 +65,38 @@ def scaled_ratios(df: np.ndarray, docs: list[int]) -> np.ndarray:
 
 
 class Sample:
-    """Texts as rows of cells in flat arrays: products with a vector of cells, and back, CHUNK features at a time."""
+    """Texts as rows of ascending cells: products with a vector of cells, and back, CHUNK features at a time.
 
-    def __init__(self, cells: np.ndarray, lengths: np.ndarray) -> None:
-        self.ends, self.cells = np.concatenate([[0], np.cumsum(lengths)]), cells
+    Held as the cells' low 16 bits, and how many of each row have each value of the high ones: two bytes a feature.
+    """
+
+    def __init__(self, rows: Iterable[np.ndarray], lengths: np.ndarray) -> None:
+        self.ends, high = np.concatenate([[0], np.cumsum(lengths)]), 1 << (BITS - 16)
+        self.low, self.parts = np.empty(self.ends[-1], np.uint16), np.zeros((len(lengths), high), np.int32)
+        for k, r in enumerate(rows):
+            self.low[self.ends[k] : self.ends[k + 1]] = r & 0xFFFF
+            self.parts[k] = np.bincount(r >> 16, minlength=high)
         cuts = np.searchsorted(self.ends, np.arange(CHUNK, self.ends[-1] + CHUNK, CHUNK), side="right") - 1
         self.cuts = np.unique(np.concatenate([[0], cuts, [len(lengths)]]))
 
+    def _cells(self, a: int, b: int) -> np.ndarray:
+        high = np.tile(np.arange(self.parts.shape[1], dtype=np.int32) << 16, b - a)
+        return np.repeat(high, self.parts[a:b].ravel()) + self.low[self.ends[a] : self.ends[b]]
+
     def sums(self, v: np.ndarray) -> np.ndarray:
         """Each row's sum of v over its cells."""
-        out, v = np.zeros(len(self.ends) - 1), v.astype(np.float32)
-        full = np.diff(self.ends) > 0
+        out, full = np.zeros(len(self.ends) - 1), np.diff(self.ends) > 0
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             if (some := np.flatnonzero(full[a:b]) + a).size:
-                each = v.take(self.cells[self.ends[a] : self.ends[b]])
-                out[some] = np.add.reduceat(each, self.ends[some] - self.ends[a])
+                out[some] = np.add.reduceat(v.take(self._cells(a, b)), self.ends[some] - self.ends[a])
         return out
 
     def back(self, e: np.ndarray) -> np.ndarray:
         """Each cell's sum of e over the rows that have it."""
         out, size = np.zeros(1 << BITS), np.diff(self.ends)
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            out += np.bincount(self.cells[self.ends[a] : self.ends[b]], weights=np.repeat(e[a:b], size[a:b]), minlength=1 << BITS)
-        return out
+            out += np.bincount(self._cells(a, b), weights=np.repeat(e[a:b], size[a:b]), minlength=1 << BITS)
+        return out.astype(np.float32)
 
 
 def fit(sample: Sample, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -99,26 +108,26 @@ def fit(sample: Sample, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps
         z = np.clip(sample.sums(x[:-1] * ratio) + x[-1], -50, 50)
         e = weight * (1 / (1 + np.exp(-z)) - y)
         value = float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * l2 * (x[:-1] @ x[:-1]) / n)
-        return value, np.append(sample.back(e) * ratio + l2 * x[:-1] / n, e.sum())
+        return value, np.append(sample.back(e) * ratio + x[:-1] * np.float32(l2 / n), np.float32(e.sum()))
 
-    x, past = np.zeros(len(ratio) + 1), []
+    x, past = np.zeros(len(ratio) + 1, np.float32), []
     value, g = loss(x)
     for _ in range(steps):
         d, kept = -g, []
         for s, u in reversed(past):
             kept.append((s @ d) / (u @ s))
             d = d - kept[-1] * u
-        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1, np.sqrt(g @ g))
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.float32(1), np.sqrt(g @ g))
         for (s, u), k in zip(past, reversed(kept), strict=True):
             d += (k - (u @ d) / (u @ s)) * s
-        t, slope = 1.0, g @ d
+        t, slope = np.float32(1), g @ d
         while True:
             after, g_after = loss(x + t * d)
             if after <= value + 1e-4 * t * slope or t < 1e-6:
                 break
-            t /= 2
+            t /= np.float32(2)
         if (s := t * d) @ (u := g_after - g) > 1e-12:
-            past = [*past[-5:], (s, u)]
+            past = [*past[-4:], (s, u)]
         x, done = x + t * d, abs(value - after) < 1e-3 * value
         value, g = after, g_after
         if done:
@@ -156,15 +165,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.record_batch({"f": pa.array(packed, pa.binary()), "n": pa.array([len(c) for c in cells], pa.int32()), "y": batch["y"]})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, codec = sorted(r for b in batches for r in zip(b["n"].to_pylist(), b["f"].to_pylist(), b["y"].to_pylist(), strict=True)), pa.Codec("zstd")
-        y, n = np.array([r[2] for r in got], float), np.array([r[0] for r in got])
-        cells, at = np.empty(n.sum(), np.int32), 0
-        got.reverse()
-        while got:  # a text's compressed form is given up as its cells take their place
-            k, f, _ = got.pop()
-            np.cumsum(np.frombuffer(codec.decompress(f, 4 * k, asbytes=True), np.int32), out=cells[at : at + k])
-            at += k
-        w, b = fit(Sample(cells, n), y, np.frombuffer(sent.value, np.float32))
+        got, codec = [*batches], pa.Codec("zstd")
+        n, y = (np.concatenate([np.asarray(b[c]) for b in got]) for c in ("n", "y"))
+        f = [x for b in got for x in b["f"]]
+        order = sorted(range(len(n)), key=lambda k: (n[k], y[k], f[k].as_buffer().to_pybytes()[:64]))
+        cells = (np.cumsum(np.frombuffer(codec.decompress(f[k].as_buffer(), 4 * int(n[k])), np.int32), dtype=np.int32) for k in order)
+        sample = Sample(cells, n[order])
+        del f, got
+        w, b = fit(sample, y[order].astype(float), np.frombuffer(sent.value, np.float32))
         yield pa.record_batch({"w": pa.array([w.tobytes()], pa.binary()), "b": pa.array([b])})
 
     learnt = sample.mapInArrow(released(rows), "f binary, n int, y int").repartition(1).mapInArrow(released(learn), "w binary, b double").collect()[0]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigrid.llm import common, embedding_dedup, jaccard_join, mixing, packing, pii, registry, secrets, signature_tree, suffix_dedup, toxicity
+from lexigrid.llm import embedding_dedup, jaccard_join, mixing, packing, pii, registry, secrets, signature_tree, suffix_dedup, toxicity
 from lexigrid.llm.common import components, shingle_set, word_hashes, words
 
 SF = "/root/testdata/sf0.001"
@@ -178,7 +178,7 @@ def test_toxicity_fit_is_at_its_optimum():
     y = np.array([float(len(r) and (r < 20).sum() + rng.random() > 3) for r in rows])
     ratio = np.zeros(1 << toxicity.BITS, np.float32)
     ratio[:300] = rng.standard_normal(300)
-    sample = toxicity.Sample(np.concatenate(rows), np.array([len(r) for r in rows]))
+    sample = toxicity.Sample(rows, np.array([len(r) for r in rows]))
     w, b = toxicity.fit(sample, y, ratio, steps=400)
 
     def loss(w, b):
@@ -562,8 +562,7 @@ def test_signature_tree_brute_force():
     assert 10 < len(set(want)) < len(sets) - 10
 
 
-def test_hubs(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT", 20)
+def test_hubs(spark):
     edges = [(0, k) for k in range(1, 300)] + [(k, 900) for k in range(500, 700)] + [(700, 701), (701, 702)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert got == {k: 0 for k in range(300)} | {k: 500 for k in [*range(500, 700), 900]} | {k: 700 for k in (700, 701, 702)}

@@ -69,11 +69,13 @@ class CoverTree:
         return float(np.sqrt(np.maximum(0, 2 - 2 * (self.unit[points] @ self.unit[c]))).max())
 
     def top(self, n: int) -> list[int]:
-        """The centres of the top of the tree: from the root down the widest node gives way to its children, until there are n."""
+        """The centres of the top of the tree, n at most: from the root down the widest node gives way to its children, the heaviest ones where there
+        are too many (a centre more or less changes what is left out, not what is found)."""
         front = [(-self.radius[self.root], self.root)]
         while len(front) < n and front[0][0] < 0:
             _, k = heapq.heappop(front)
-            for c in self.children[k].tolist():
+            heavy = sorted(self.children[k].tolist(), key=lambda c: (-self.total[c], c))
+            for c in heavy[: n - len(front)]:
                 heapq.heappush(front, (-self.radius[c], c))
         return sorted({int(self.centre[k]) for _, k in front})
 

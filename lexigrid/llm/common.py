@@ -7,7 +7,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.storage import written
@@ -40,15 +40,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with a long column `name`: their places, from 1, in an order; rows that tie in it in any one.
+
+    Range partitions are counted, then numbered within. Ties are parted by where rows stand, so that a key of many rows fills no partition.
+    """
+    spark = rows.sparkSession
+    rows = written(rows.withColumn("__salt", F.monotonically_increasing_id()), "unordered")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() >> 20)
+    dealt = rows.repartitionByRange(parts, *order, "__salt").withColumn("__part", F.spark_partition_id())
+    dealt = written(dealt, "ordered")
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order, "__salt"))
+    out = dealt.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + nth).cast("long"))
+    return written(out.drop("__part", "__before", "__salt"), "numbered")
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a long column `name` that tells rows apart and ascends with doc_id: doc_id itself, where it does so.
 
-    Only if doc_ids repeat or are null are rows numbered: a sort of (doc_id, digest of the text) in one task.
+    Only if doc_ids repeat or are null are rows numbered, by doc_id (null first) and a digest of the text.
     """
-    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0:
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long"))
-    order = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return written(docs.withColumn(name, F.row_number().over(order).cast("long")), "numbered")
+    return in_order(docs, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], name)
 
 
 def words(text: str | None) -> list[bytes]:

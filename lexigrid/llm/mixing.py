@@ -54,7 +54,8 @@ def mix(docs: DataFrame, weights: list[float], ceiling: float = 3.0, seed: str =
     replacement by Efraimidis-Spirakis keys -ln(u) / quality in ascending order, until the budget is spent; the document
     on its edge gives its first words only. u comes from a hash of seed and doc_id, so that reruns agree; repeated rows
     have equal keys and are told apart by a number. No document gives more than ceiling (rounded up) times its size.
-    Empty and null texts have size 0 and give nothing; an empty table gives no rows. Null sources are one source.
+    Empty and null texts have size 0 and give nothing; an empty table gives no rows. Null sources are one
+    source. Other columns, whatever their names, play no part.
     A source's documents are dealt to buckets that ascend with the key and hold some PER_BUCKET rows each; budgets come from
     bucket sums, and rows are sorted in the bucket on the edge only.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -44,14 +45,26 @@ class PreTokens(dict):
         return ids
 
 
+#: The normaliser and the pre-tokeniser that _PIECE and lower() stand for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _known(tok) -> bool:
+    """Whether a tokenizer cuts texts as _PIECE does."""
+    said = json.loads(tok.to_str())
+    first = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return said["normalizer"] == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed"
+
+
 def tokenizer(path: str) -> tuple:
-    """The library's tokenizer, and its results by pre-token."""
+    """The library's tokenizer, and its results by pre-token; None for these where the file cuts texts in another way."""
     if path not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _STATE[path] = (tok, PreTokens(tok))
+        _STATE[path] = (tok, PreTokens(tok) if _known(tok) else None)
     return _STATE[path]
 
 
@@ -59,14 +72,14 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Each whole text's ids, and END_ID, as little-endian unsigned 32-bit integers.
 
     Byte-pair merges never cross a pre-token, so that the ids of each distinct pre-token come from the library once and from a
-    cache then; texts for which that isn't sure go to the library whole.
+    cache then; texts for which that isn't sure, and all texts with other vocabulary files than that of word pairs, go to the library whole.
     """
     tok, cache = tokenizer(path)
     end, out = np.array([END_ID], "<u4").tobytes(), []
     for text in texts:
         if not text:
             out.append(end)
-        elif _UNSURE.search(text):
+        elif cache is None or _UNSURE.search(text):
             out.append(np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end)
         else:
             out.append(b"".join(map(cache.__getitem__, _PIECE.findall(text.lower()))) + end)
@@ -197,7 +210,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
     Documents are cut at multiples of 4096 and GRAIN only, so there are some 128 lengths, whatever the data; their histogram is all
     that the linear program needs. Every piece then finds its place from its rank among the pieces of its length. A null or
-    empty text is the end id alone; repeated rows are packed each; an empty table gives no rows.
+    empty text is the end id alone; repeated rows are packed each; an empty table gives no rows; other columns, whatever their names, play no part.
     """
     cut = written(pieces(docs, path), "pack-pieces")
     per_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import ROLLER, mixed, table, written
+from lexigrid.llm.common import in_order, mixed, ROLLER, table, written
 
 #: Bytes of an anchor; bytes of text that a transform gets on average; distinct segments of an anchor from which they are dealt by window.
 ANCHOR, BUCKET, HOT = 24, 1 << 19, 20_000
@@ -239,7 +239,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Removed is every byte under a string of `length` bytes that also starts earlier: in a smaller doc_id, or the same document. A
     null text counts as empty; texts shorter than `length` stay whole. If doc_ids repeat or are null, rows are told apart by their
-    text and ordered by doc_id (null first), then a hash of the text; rows that repeat a doc_id and its text share one result.
+    text and ordered by doc_id (null first), then a hash of the text; rows that repeat a doc_id and its text share one result. An
+    empty table gives no rows; other columns, whatever their names, play no part.
     1. A window's anchor is its minimizer; runs of windows with one anchor are segments. Anchors that occur once have no repeats.
     2. Of equal segments (by 64-bit hash) all but the earliest are repeats.
     3. Where an anchor has unequal segments, their bytes go to a bucket, in which a Burrows-Wheeler transform finds equal windows.
@@ -251,7 +252,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     repeated = base.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
     if repeated:
         own = base.select("doc_id", F.xxhash64("text").alias("__sha")).distinct()
-        own = written(own.withColumn("ord", F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_first(), "__sha")).cast("long")).withColumnRenamed("doc_id", "__id"), "repeats-order")
+        own = in_order(own.withColumnRenamed("doc_id", "__id"), [F.col("__id").asc_nulls_first(), F.col("__sha")], "ord")
         rows = base.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__sha"))).select("doc_id", "ord", "text")
     else:
         rows = base.select("doc_id", F.col("doc_id").alias("ord"), "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -170,9 +171,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         f = [x for b in got for x in b["f"]]
         order = sorted(range(len(n)), key=lambda k: (n[k], y[k], f[k].as_buffer().to_pybytes()[:64]))
         cells = (np.cumsum(np.frombuffer(codec.decompress(f[k].as_buffer(), 4 * int(n[k])), np.int32), dtype=np.int32) for k in order)
-        sample = Sample(cells, n[order])
+        # one empty text more, as a clean one: where nothing tells classes apart, nothing is toxic
+        sample = Sample(chain(cells, [np.zeros(0, np.int32)]), np.append(n[order], 0))
         del f, got
-        w, b = fit(sample, y[order].astype(float), np.frombuffer(sent.value, np.float32))
+        w, b = fit(sample, np.append(y[order], 0.0), np.frombuffer(sent.value, np.float32))
         yield pa.record_batch({"w": pa.array([w.tobytes()], pa.binary()), "b": pa.array([b])})
 
     learnt = sample.mapInArrow(released(rows), "f binary, n int, y int").repartition(1).mapInArrow(released(learn), "w binary, b double").collect()[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexigrid.llm import embedding_dedup, jaccard_join, language_model, mixing, packing, pii, secrets, suffix_dedup, topk_search, toxicity
+from lexigrid.llm.common import numbered
 
 LONG = "lorem ipsum dolor " * 20_000
 ROWS = [
@@ -124,3 +125,28 @@ def test_top_k_with_repeated_ids(spark, shard):
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
     got = [tuple(r) for r in topk_search.top_k(df, df.where("vec_id % 4 = 1"), 5, 4, shard, 2).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_numbers_in_order(spark):
+    """Repeated and null ids: numbers without a gap, by doc_id and the text's digest; a key of many rows is more than one partition's."""
+    rows = [(None, "x")] * 300 + [(k % 7, f"t{k % 3}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = numbered(df.withColumn("digest", F.xxhash64("text")), "row").collect()
+    assert sorted(r["row"] for r in got) == list(range(1, 401))
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.digest)
+    by = sorted(got, key=lambda r: r["row"])
+    assert [key(r) for r in by] == sorted(map(key, got)) and [r.doc_id for r in by[:300]] == [None] * 300
+    assert {r.doc_id: r["row"] for r in numbered(df.where("doc_id > 0").dropDuplicates(["doc_id"]), "row").collect()} == {k: k for k in range(1, 7)}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_vocabulary(name):
+    """Ids are the library's also for a file that cuts texts in another way."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = ["Hello, World!  It's 2024 now.", " Ünïcödé ДА\n\n漢字 x", "", None, "a'LL b"]
+    want = [np.array([*(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids if t else []), packing.END_ID], "<u4").tobytes() for t in texts]
+    assert packing.token_bytes(texts, path) == want

@@ -13,13 +13,22 @@ WEIGHTS = [5, 2, 1]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels of those at hand, doesn't call toxic."""
+    """Documents that the classifier, learnt from the labels of those at hand, doesn't call toxic.
+
+    A score of just 0.5 says nothing (without labels all texts have it): such documents stay. Null and empty texts have the bias alone; repeated
+    rows are judged alike; rows with a null doc_id are judged, not learnt from. As in all stages but the last, an empty table gives an
+    empty table, and other columns than COLUMNS, whatever their names, are left out.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(COLUMNS), model, COLUMNS).where("predicted = 0").select(COLUMNS)
+    return toxicity.score(docs.select(COLUMNS), model, COLUMNS).where("score <= 0.5").select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the first document."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
+
+    Null, empty and blank texts have no shingles and all stay. Repeated rows are copies: one stays. Rows whose doc_ids repeat or are null
+    are told apart by numbers in the order of doc_id (null first) and a digest of the text.
+    """
     rows = numbered(docs.select(COLUMNS), "__row")
     groups = jaccard_join.join_components(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 80, 100)
     kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__row")), "pipeline-kept")
@@ -28,12 +37,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data."""
+    """Texts with surrogates for personal data; n_chars counts the new text's characters.
+
+    Null and empty texts stay as they are (n_chars of a null text is null); repeated rows change alike.
+    """
     return pii.anonymise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's mix takes it; of the one on a budget's edge, its first words only."""
+    """Each document as often as its source's mix takes it; of the one on a budget's edge, its first words only.
+
+    Null, empty and blank texts have no words and are taken no time; a null source is a source; ties of the sampling keys go to the smaller
+    number (doc_id, or where these repeat or are null, the place in their order). Copies of a row keep its doc_id.
+    """
     rows = numbered(docs.select(COLUMNS), "__row")
     taken = mixing.mix(rows.select(F.col("__row").alias("doc_id"), "text", "source"), WEIGHTS)
     rows = rows.join(taken.select(F.col("doc_id").alias("__row"), "size", "epochs", "part"), "__row")
@@ -45,7 +61,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 4096: one row a piece."""
+    """The documents' tokens in sequences of 4096: one row a piece. A null or empty text is its end id; each of repeated rows is packed."""
     return packing.pack(docs, packing.default_vocabulary())
 
 

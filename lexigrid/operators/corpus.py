@@ -63,10 +63,11 @@ def topics(docs: DataFrame, tokens: str, k: int = 20, iterations: int = 25, no_b
 
 
 def topic_mass(distributed: DataFrame) -> DataFrame:
-    """(corpus, topic, mass): the mean probability of each topic in a corpus."""
+    """(corpus, topic, mass): the mean probability of each topic in a corpus, over documents that have a word of the vocabulary."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = distributed.select("corpus", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p"))
+    known = distributed.select("corpus", vector_to_array("topicDistribution").alias("ps")).where("exists(ps, p -> p > 0)")
+    rows = known.select("corpus", F.posexplode("ps").alias("topic", "p"))
     return rows.groupBy("corpus", "topic").agg(F.avg("p").alias("mass"))
 
 

@@ -260,6 +260,29 @@ def test_throughput(spark):
     assert tuple(transfer.throughput(c).first()) == (1, 2.0, 1)
 
 
+def test_support_vectors_and_corpus_topics(spark):
+    """On held-out documents the linear machine tells the languages apart; topic masses of a corpus sum to 1, one is the largest."""
+    from lexigrid import catalog
+
+    rows = catalog.QUERIES["svm_predict"](spark, "/root/testdata/sf0.001").collect()
+    right, every = (sum(r.n for r in rows if ok(r)) for ok in (lambda r: r.label == r.pred, lambda r: True))
+    assert every >= 20 and right / every > 0.7
+    mass = catalog.QUERIES["lda_corpus_topics"](spark, "/root/testdata/sf0.001").collect()
+    for c in {r.corpus for r in mass}:
+        own = [r for r in mass if r.corpus == c]
+        assert len(own) == 20 and sum(r.mass for r in own) == pytest.approx(1, abs=1e-4) and sum(r.largest for r in own) == 1
+        assert next(r.mass for r in own if r.largest) == max(r.mass for r in own)
+
+
+def test_unicode_words_on_both_sides(spark):
+    """A query word is cut as the index cuts it, with and without Unicode classes."""
+    from lexigrid.functions.text import WORD
+
+    docs = spark.createDataFrame([(1, "naïve café"), (2, "na ve"), (3, "ДОМ дом")], "doc_id long, text string")
+    find = lambda p, q: sorted(r[0] for r in Search(docs, Analyzer(p), "text").answer(q).collect())
+    assert find(WORD, "naïve") == [1] and find(WORD, "дом") == [3] and find(r"\w+", "naïve") == [1, 2] and find(r"\w+", "дом") == []
+
+
 def test_topics_and_word_vectors_are_whole(spark, monkeypatch):
     """20 topics; 300 dimensions, also for words met three times."""
     from lexigrid import catalog

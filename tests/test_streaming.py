@@ -37,6 +37,22 @@ def test_mirror(spark, source):
     assert {(r.seq, r.mirrored) for r in got.collect()} == {(r.seq, r.mirrored) for r in network.mirrored(packets_of(whole)).collect()}
 
 
+def test_flow_bytes_in_windows(spark, source):
+    """Windows that the watermark closes have the bytes that the batch gives them; all windows but the last ones close."""
+    at, whole = source
+    from pyspark.sql import functions as F
+
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(at))
+    out = flows.flow_bytes(packets_of(stream), "1 hour", "365 days")
+    q = out.writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    ends = [c for c in out.columns if c not in ("window", "bytes")]
+    last = spark.table("windows").groupBy("window", *ends).agg(F.max("bytes").alias("bytes"))  # the totals only grow
+    want = flows.flow_bytes(packets_of(whole), "1 hour", "365 days")
+    key = lambda r: (r.window.start, *[r[c] for c in ends], r.bytes)
+    assert sorted(map(key, last.collect())) == sorted(map(key, want.collect()))
+
+
 def test_first_copies(spark, source):
     at, whole = source
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(at)).selectExpr("user_id as transfer_id", "event_type as seq", "ts")

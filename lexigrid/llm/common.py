@@ -7,7 +7,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.storage import written
@@ -183,9 +183,8 @@ def components(edges: DataFrame, what: str, rounds: int = 60) -> DataFrame:
     )
 
 
-def _noted(edges: DataFrame, what: str) -> tuple[DataFrame, dict]:
-    """edges written, and a digest of them that is taken as they are."""
-    seen = Observation()
-    sums = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s"), F.bit_xor(F.xxhash64("b", "a")).alias("x")
-    out = written(edges.observe(seen, *sums), what)
-    return out, seen.get
+def _noted(edges: DataFrame, what: str) -> tuple[DataFrame, tuple]:
+    """edges written, and a digest of them. (An Observation would save the second job, but leaves the session with a member that MLlib's closures
+    can't take along.)"""
+    out = written(edges, what)
+    return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("b", "a"))).first())

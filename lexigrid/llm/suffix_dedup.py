@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import in_order, mixed, ROLLER, table, written
 
-#: Bytes of an anchor; bytes of text that a transform gets on average; distinct segments of an anchor from which they are dealt by window.
+#: Bytes of an anchor; bytes of text that a transform gets on average; distinct segments of an anchor beyond which they are parted.
 ANCHOR, BUCKET, HOT = 24, 1 << 19, 20_000
+#: Windows of a part: of those that show which segments a transform needs, and of hot anchors' parts, in turn.
+WIDTH, FINER = 20, (8, 1)
 BROADCAST_IDS = 1 << 19
 _BITS = 20
 
@@ -46,6 +49,30 @@ def anchored(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def parted(data: np.ndarray, h: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """(run, anchor hash, first window, number of windows) of the parts of runs of windows (anchor hash h, first window lo, number n).
+
+    A part has the windows whose start is from k * width to k * width + width - 1 bytes before their anchor. Its own, longer anchor is what
+    all such windows have in common, so that equal windows are in parts of one anchor. With a width of 1 that is the window itself, whatever
+    h is. Otherwise runs whose first window doesn't have h have no parts.
+    """
+    if width == 1:
+        run = np.repeat(np.arange(len(n)), n)
+        lo = lo[run] + np.arange(len(run)) - np.repeat(n.cumsum() - n, n)
+        return run, ROLLER.slices(data, lo, lo + length), lo, np.ones_like(lo)
+    gram = ROLLER.slices(data, np.arange(len(data) - ANCHOR + 1), np.arange(ANCHOR, len(data) + 1))
+    hit = gram[lo[:, None] + np.arange(length - ANCHOR + 1)] == h[:, None]
+    run = np.flatnonzero(hit.any(axis=1))
+    far = hit[run].argmax(axis=1)
+    near = far - n[run] + 1
+    count = far // width - near // width + 1
+    of = np.repeat(np.arange(len(run)), count)
+    k = (far // width)[of] - (np.arange(len(of)) - np.repeat(count.cumsum() - count, count))
+    least, most = np.maximum(k * width, near[of]), np.minimum(k * width + width - 1, far[of])
+    run, place = run[of], (lo[run] + far)[of]
+    return run, ROLLER.slices(data, place - k * width, place - (k + 1) * width + 1 + length), place - most, most - least + 1
+
+
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.zeros(0, np.uint8)
 
@@ -105,6 +132,23 @@ def repeats(segments: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     return group[whole], seg[whole], off[whole]
 
 
+def needed(segments: list[np.ndarray], h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, number of windows) of what can have an equal window elsewhere: from a segment's first to its last part that
+    has its anchor in common with another part. Segments that don't have the anchor h stay whole."""
+    n = np.array([len(s) for s in segments]) - length + 1
+    begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
+    run, key, lo, of = parted(np.concatenate(segments), h, begin, n, length, WIDTH)
+    first, last = np.zeros(len(n), np.int64), n.copy()
+    first[run], last[run] = n[run], 0
+    _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+    met = count[at] > 1
+    run, lo, of = run[met], (lo - begin[run])[met], of[met]
+    np.minimum.at(first, run, lo)
+    np.maximum.at(last, run, lo + of)
+    some = np.flatnonzero(first < last)
+    return some, first[some], last[some] - first[some]
+
+
 def late_runs(segments: list[np.ndarray], rank: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first window, windows) of runs of windows that also start earlier, in the order (rank, first + offset)."""
     group, seg, off = repeats(segments, length)
@@ -126,6 +170,21 @@ def _runs(seg: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return seg[cut], start[cut], np.diff(np.append(cut, len(seg)))
 
 
+_ANCHORS = "h long, seg long, ord long, lo int, n int, again boolean"
+
+
+def _known(out: list[tuple]) -> pa.RecordBatch:
+    """Columns (h, seg, ord, lo, n) of a batch's texts -> rows; again: an earlier row has the same h and seg."""
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+    o = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+    cols = [c[o] for c in cols]
+    again = np.concatenate([[False], (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])])
+    # what repeats within the batch is known to be late here: dealt by its place, it crowds no anchor's task
+    place = mixed(cols[2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cols[3].astype(np.uint64)).view(np.int64)
+    cols[0] = np.where(again, place, cols[0])
+    return pa.record_batch([*map(pa.array, cols), pa.array(again)], names=["h", "seg", "ord", "lo", "n", "again"])
+
+
 def _anchors(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,14 +196,25 @@ def _anchors(length: int):
                     seg = ROLLER.slices(data, lo, lo + n + length - 1)
                     out.append((h.view(np.int64), seg.view(np.int64), np.full(len(h), ord_), lo.astype(np.int32), n.astype(np.int32)))
             if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                o = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
-                cols = [c[o] for c in cols]
-                again = np.concatenate([[False], (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])])
-                # what repeats within the batch is known to be late here: dealt by its place, it crowds no anchor's task
-                place = mixed(cols[2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cols[3].astype(np.uint64)).view(np.int64)
-                cols[0] = np.where(again, place, cols[0])
-                yield pa.record_batch([*map(pa.array, cols), pa.array(again)], names=["h", "seg", "ord", "lo", "n", "again"])
+                yield _known(out)
+
+    return rows
+
+
+def _parts(length: int, width: int):
+    """Texts with segments of hot anchors -> the segments' parts, as _anchors() gives segments."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for ord_, text, hot in zip(batch.column("ord").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                data = _bytes(text)
+                h, lo, n = (np.array([w[k] for w in hot], np.int64) for k in ("h", "lo", "n"))
+                _, h, lo, n = parted(data, h.view(np.uint64), lo, n, length, width)
+                seg = ROLLER.slices(data, lo, lo + n + length - 1)
+                out.append((h.view(np.int64), seg.view(np.int64), np.full(len(h), ord_), lo.astype(np.int32), n.astype(np.int32)))
+            if out:
+                yield _known(out)
 
     return rows
 
@@ -170,35 +240,34 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(length: int, buckets: int):
-    """Texts with their anchors in conflict -> the segments' bytes, dealt to buckets by anchor, or each window by its own hash."""
+    """Texts with their anchors in conflict -> the segments' bytes, dealt to buckets by anchor."""
+    names, kinds = ["bucket", "h", "ord", "lo", "bytes"], [pa.int64()] * 4 + [pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in names]
             for ord_, text, wanted in zip(batch.column("ord").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                data = _bytes(text)
+                data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
-                    lo, n = w["lo"], w["n"]
-                    if w["hot"]:
-                        s = np.arange(lo, lo + n)
-                        pieces = zip(ROLLER.slices(data[lo : lo + n + length - 1], s - lo, s - lo + length).tolist(), s.tolist(), [1] * n, strict=True)
-                    else:
-                        pieces = [(w["h"] % (1 << 64), lo, n)]
-                    for h, a, m in pieces:
-                        for column, value in zip(out, (int(h) % buckets, ord_, a, data[a : a + m + length - 1].tobytes()), strict=True):
-                            column.append(value)
+                    h, lo = w["h"], w["lo"]
+                    for column, value in zip(out, (h % (1 << 64) % buckets, h, ord_, lo, data[lo : lo + w["n"] + length - 1]), strict=True):
+                        column.append(value)
                 if len(out[0]) > 20_000:
-                    yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["bucket", "ord", "lo", "bytes"])
-                    out = [[], [], [], []]
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["bucket", "ord", "lo", "bytes"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                    out = [[] for _ in names]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
     return rows
 
 
 def _expand(length: int):
     def bucket(part: pa.Table) -> pa.Table:
-        rank, first = np.asarray(part["ord"]), np.asarray(part["lo"])
-        seg, lo, n = late_runs([np.frombuffer(x, np.uint8) for x in part["bytes"].to_pylist()], rank, first, length)
+        rank, first, h = (np.asarray(part[c]) for c in ("ord", "lo", "h"))
+        segments = [np.frombuffer(x, np.uint8) for x in part["bytes"].to_pylist()]
+        some, skip, n = needed(segments, h.view(np.uint64), length)
+        rank, first = rank[some], first[some] + skip
+        segments = [segments[k][a : a + m + length - 1] for k, a, m in zip(some.tolist(), skip.tolist(), n.tolist(), strict=True)]
+        seg, lo, n = late_runs(segments, rank, first, length) if segments else (np.zeros(0, np.int64),) * 3
         return pa.table({"ord": rank[seg], "lo": pa.array(lo, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return bucket
@@ -234,6 +303,10 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "ord")
 
 
+def _wanted(clash: DataFrame) -> DataFrame:
+    return clash.groupBy("ord").agg(F.collect_list(F.struct("h", "lo", "n")).alias("at"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -243,9 +316,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     empty table gives no rows; other columns, whatever their names, play no part.
     1. A window's anchor is its minimizer; runs of windows with one anchor are segments. Anchors that occur once have no repeats.
     2. Of equal segments (by 64-bit hash) all but the earliest are repeats.
-    3. Where an anchor has unequal segments, their bytes go to a bucket, in which a Burrows-Wheeler transform finds equal windows.
-       Buckets grow in number with the data. An anchor with more than HOT unequal segments is dealt by the windows' own hashes.
-    4. Texts with repeats are read again and cut.
+    3. An anchor with more than HOT unequal segments has them parted: fewer windows each, with longer anchors, for which steps 1 and 2
+       are done again; in the end a window is its own anchor.
+    4. Where an anchor has unequal segments, their bytes go to a bucket, in which a Burrows-Wheeler transform finds equal windows among
+       those parts that share more than the anchor. Buckets grow in number with the data.
+    5. Texts with repeats are read again and cut.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
@@ -259,16 +334,26 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = rows.select("ord", "text").where(f"octet_length(text) >= {length}")
     texts = texts.dropDuplicates(["ord"]) if repeated else texts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = texts.mapInArrow(_anchors(length), "h long, seg long, ord long, lo int, n int, again boolean").repartition(parts, "h").sortWithinPartitions("h", "seg", "ord", "lo")
-    met = written(anchors.mapInArrow(_repeated, "h long, seg long, ord long, lo int, n int, first boolean"), "repeats-anchors")
-    heads = met.where("first").groupBy("h").agg(F.count("*").alias("segs")).where("segs > 1")
-    clash = written(met.where("first").join(heads, "h").select("h", "ord", "lo", "n", (F.col("segs") > HOT).alias("hot")), "repeats-clashes")
-    total = clash.agg(F.sum(F.when(F.col("hot"), F.col("n") * length).otherwise(F.col("n") + length))).first()[0] or 0
-    buckets = max(parts, -(-int(total) // BUCKET))
-    wanted = written(clash.groupBy("ord").agg(F.collect_list(F.struct("h", "lo", "n", "hot")).alias("at")), "repeats-wanted")
-    segments = _texts(texts, wanted).select("ord", "text", "at").mapInArrow(_segments(length, buckets), "bucket long, ord long, lo long, bytes binary")
+    anchors, late, clashes, total = texts.mapInArrow(_anchors(length), _ANCHORS), [], [], 0
+    for finer in (*FINER, None):
+        anchors = anchors.repartition(parts, "h").sortWithinPartitions("h", "seg", "ord", "lo")
+        met = written(anchors.mapInArrow(_repeated, "h long, seg long, ord long, lo int, n int, first boolean"), "repeats-anchors")
+        late.append(met.where("not first").select("ord", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n")))
+        if finer is None:
+            break  # windows of one anchor are equal
+        heads = met.where("first").groupBy("h").agg(F.count("*").alias("segs")).where("segs > 1")
+        clash = written(met.where("first").join(heads, "h").select("h", "ord", "lo", "n", (F.col("segs") > HOT).alias("hot")), "repeats-clashes")
+        size, hot = clash.agg(F.sum(F.when(~F.col("hot"), F.col("n") + length)), F.max("hot")).first()
+        clashes, total = [*clashes, clash.where("not hot")], total + int(size or 0)
+        if not hot:
+            break
+        parting = written(_wanted(clash.where("hot")), "repeats-hot")
+        anchors = _texts(texts, parting).select("ord", "text", "at").mapInArrow(_parts(length, finer), _ANCHORS)
+    buckets = max(parts, -(-total // BUCKET))
+    wanted = written(_wanted(reduce(DataFrame.unionByName, clashes)), "repeats-wanted")
+    segments = _texts(texts, wanted).select("ord", "text", "at").mapInArrow(_segments(length, buckets), "bucket long, h long, ord long, lo long, bytes binary")
     found = segments.groupBy("bucket").applyInArrow(_expand(length), "ord long, lo long, n long")
-    late = found.unionByName(met.where("not first").select("ord", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n")))
+    late = reduce(DataFrame.unionByName, late, found)
     late = written(late.groupBy("ord").agg(F.collect_list(F.struct("lo", "n")).alias("late")), "repeats-late")
     cut = _texts(texts, late).select("ord", "text", "late").mapInArrow(_removed(length), "ord long, n_removed long, n_spans long, kept_sha256 string")
     whole = rows.select("doc_id", "ord", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))

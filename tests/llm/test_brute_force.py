@@ -376,6 +376,45 @@ def test_repeats_by_window(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()} == removed(t)
 
 
+def test_repeats_of_hot_anchors(spark, monkeypatch):
+    """What transforms get grows with the texts, not with length times the windows, however often an anchor occurs."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, met, get = word(120), spark.sparkContext.accumulator(0), suffix_dedup._expand
+    t = {k: word(80) + line + word(80) for k in range(150)} | {200: line, 201: line[:-1] + "x" + line}
+
+    def counted(length):
+        of = get(length)
+
+        def bucket(part):
+            met.add(sum(len(x) for x in part["bytes"].to_pylist()))
+            return of(part)
+
+        return bucket
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "_expand", counted)
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()} == removed(t)
+    assert met.value <= sum(map(len, t.values()))
+
+
+def test_parts_of_segments():
+    """Segments that have an equal window in another one reach the transform with it."""
+    rng = np.random.default_rng(6)
+    passages = [rng.integers(97, 101, 130).astype(np.uint8) for _ in range(4)]
+    texts = [np.concatenate([rng.integers(97, 101, 60), passages[k % 4][k % 7 : 90 + k], rng.integers(97, 101, 40)]).astype(np.uint8) for k in range(40)]
+    runs = [(t, *x) for t in texts for x in zip(*suffix_dedup.anchored(t, 100), strict=True)]
+    segments, h = [t[lo : lo + n + 99] for t, _, lo, n in runs], np.array([x[1] for x in runs])
+    some, skip, n = suffix_dedup.needed(segments, h, 100)
+    windows = lambda k, a, m: [segments[k][s : s + 100].tobytes() for s in range(a, a + m)]
+    every = Counter(w for k in range(len(segments)) for w in windows(k, 0, len(segments[k]) - 99))
+    left = Counter(w for k, a, m in zip(some, skip, n, strict=True) for w in windows(k, a, m))
+    assert max(every.values()) > 1 and {w: c for w, c in every.items() if c > 1} == {w: c for w, c in left.items() if c > 1}
+    assert left.total() < every.total() / 2
+    assert suffix_dedup.needed(segments, h + np.uint64(1), 100)[0].tolist() == list(range(len(segments)))
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(4)
     segments = [rng.integers(97, 99, int(n)).astype(np.uint8) for n in rng.integers(5, 60, 30)]

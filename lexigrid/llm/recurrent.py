@@ -7,6 +7,8 @@ import numpy as np
 #: Units; streams that run side by side in training, and steps of a window; Adam's rate.
 HIDDEN, STREAMS, STEPS, RATE = 24, 1024, 16, 0.004
 UNKNOWN, END = 0, 1
+#: Rows of a group from which it is summed by itself.
+LONG = 16
 
 
 def class_edges(size: int) -> np.ndarray:
@@ -22,6 +24,28 @@ def shapes(size: int) -> list[tuple[int, ...]]:
     return [(size + 1, 3 * h), (h, 2 * h), (h, h), (h, classes), (classes,), (size, h), (size,)]
 
 
+def _by_part(w: np.ndarray, parts: int) -> np.ndarray:
+    """Weights whose columns are those of `parts` parts, as an array for each part."""
+    return np.ascontiguousarray(w.reshape(len(w), parts, -1).transpose(1, 0, 2))
+
+
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """np.add.reduceat(rows, first, axis=0), which walks down columns, row by row: long groups each at once, short ones side by side."""
+    count = np.diff(np.append(first, len(rows)))
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    ones = np.ones(int(count.max()), rows.dtype)
+    for i in np.flatnonzero(count > LONG):
+        np.matmul(ones[: count[i]], rows[first[i] : first[i] + count[i]], out=out[i])
+    short = np.flatnonzero(count <= LONG)
+    short = short[np.argsort(-count[short], kind="stable")]
+    total = rows[first[short]]
+    for k in range(1, int(count[short[0]]) if len(short) else 0):
+        m = int(np.searchsorted(-count[short], -k))
+        total[:m] += rows[first[short[:m]] + k]
+    out[short] = total
+    return out
+
+
 class Network:
     """h' = (1 - z) h + z tanh(a + U(r h)) with gates z and r; P(word) = P(class) P(word within its class).
 
@@ -60,7 +84,7 @@ class Network:
         y = target.ravel()
         alive = np.flatnonzero(real.ravel())
         order = alive[np.argsort(self.class_of[y[alive]], kind="stable")]
-        score, dx, grads = self._outcomes(x[order], y[order], learn)
+        score, dx, grads = self._outcomes(np.take(x, order, axis=0), y[order], learn)
         out = np.zeros(y.size, x.dtype)
         out[order] = score
         if learn:
@@ -70,37 +94,41 @@ class Network:
         return h, out.reshape(target.shape), grads
 
     def _states(self, h, given, fresh, learn: bool):
+        """The states; each step's arrays are (part, streams, units), parts z, r and the new state, so that all that is done to one runs over
+        memory in order."""
         table, gates, own, *_ = self.weights
         k, kept = HIDDEN, []
-        a = table[given]
-        states = np.empty((*given.shape, k), a.dtype)
+        words, at = _by_part(table, 3).reshape(-1, k), given[:, None] + len(table) * np.arange(3)[:, None]
+        minus = -_by_part(gates, 2)
+        states, a = np.empty((*given.shape, k), table.dtype), np.empty((3, given.shape[1], k), table.dtype)
         for t in range(len(given)):
             old = np.where(fresh[t][:, None], a.dtype.type(0), h) if fresh[t].any() else h
-            g = old @ gates
-            g += a[t, :, : 2 * k]
-            np.negative(g, out=g)
+            np.take(words, at[t], axis=0, out=a, mode="clip")
+            g = old @ minus
+            g -= a[:2]
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            c = (g[:, k:] * old) @ own
-            c += a[t, :, 2 * k :]
+            c = (g[1] * old) @ own
+            c += a[2]
             np.tanh(c, out=c)
             h = states[t]
             np.subtract(c, old, out=h)
-            h *= g[:, :k]
+            h *= g[0]
             h += old
             if learn:
                 kept.append((old, g, c))
         return states.reshape(-1, k), h, kept
 
     @staticmethod
-    def _softmax(logits: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Columns of logits to probabilities, in place; the log-probability of each column's row `hit`."""
+    def _softmax(logits: np.ndarray, hit: np.ndarray, learn: bool) -> np.ndarray:
+        """The log-probability of each column's row `hit`; columns of logits change in place, with learn to probabilities."""
         logits -= logits.max(axis=0)
         score = logits[hit, np.arange(len(hit))]
         np.exp(logits, out=logits)
         total = logits.sum(axis=0)
-        logits /= total
+        if learn:
+            logits /= total
         return score - np.log(total)
 
     def _outcomes(self, x: np.ndarray, y: np.ndarray, learn: bool):
@@ -110,19 +138,19 @@ class Network:
         dx, grads = None, None
         p = cw.T @ xt
         p += cb[:, None]
-        score = self._softmax(p, cls)
+        score = self._softmax(p, cls, learn)
         if learn:
             p[cls, np.arange(len(y))] -= 1
-            dx = (cw @ p).T.copy()
+            dx = p.T @ cw.T
             dww, dwb = np.zeros_like(ww), np.zeros_like(wb)
-            grads = [(slice(None), x.T @ p.T), (slice(None), p.sum(axis=1))]
+            grads = [(slice(None), (p @ x).T), (slice(None), p.sum(axis=1))]
         ends = np.searchsorted(cls, np.arange(len(self.edges)))
         for i in np.flatnonzero(np.diff(ends)):
             s, of = slice(ends[i], ends[i + 1]), slice(self.edges[i], self.edges[i + 1])
             w, hit = ww[of], y[s] - of.start
             q = w @ xt[:, s]
             q += wb[of, None]
-            score[s] += self._softmax(q, hit)
+            score[s] += self._softmax(q, hit, learn)
             if learn:
                 q[hit, np.arange(len(hit))] -= 1
                 dww[of], dwb[of] = q @ x[s], q.sum(axis=1)
@@ -135,31 +163,39 @@ class Network:
 
     def _back(self, kept: list, given: np.ndarray, fresh: np.ndarray, every: np.ndarray) -> list:
         """Backward through the window's steps, from the states' gradients."""
-        table, gates, own, *_ = self.weights
-        k = HIDDEN
-        dgates, down, da = np.zeros_like(gates), np.zeros_like(own), np.empty((*given.shape, 3 * k), every.dtype)
+        _, gates, own, *_ = self.weights
+        k, n = HIDDEN, given.shape[1]
+        apart = _by_part(gates, 2)
+        dgates, down, da = np.zeros_like(apart), np.zeros_like(own), np.empty((len(given), 3, n, k), every.dtype)
         dh = np.zeros_like(every[0])
         for t in range(len(given) - 1, -1, -1):
             old, g, c = kept[t]
-            z, r = g[:, :k], g[:, k:]
-            dh = dh + every[t]
-            dc = da[t, :, 2 * k :]
-            np.multiply(dh * z, 1 - c * c, out=dc)
+            dh += every[t]
+            new, dc, dg = dh * g[0], da[t, 2], da[t, :2]
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= new
             drh = dc @ own.T
-            down += (r * old).T @ dc
-            dg = da[t, :, : 2 * k]
-            dg[:, :k] = dh * (c - old)
-            dg[:, k:] = drh * old
+            down += (g[1] * old).T @ dc
+            np.subtract(c, old, out=dg[0])
+            dg[0] *= dh
+            np.multiply(drh, old, out=dg[1])
             dg *= g
-            dg *= 1 - g
+            dg -= dg * g
             dgates += old.T @ dg
-            dh = dh * (1 - z) + drh * r + dg @ gates.T
+            dh -= new
+            drh *= g[1]
+            dh += drh
+            dh += dg[0] @ apart[0].T
+            dh += dg[1] @ apart[1].T
             if fresh[t].any():
                 dh[fresh[t]] = 0
-        ids, rows = given.ravel(), da.reshape(-1, 3 * k)
-        o = np.argsort(ids, kind="stable")
+        ids = given.ravel()
+        o = np.argsort(ids.astype(np.uint16) if self.start < 1 << 16 else ids, kind="stable")  # 16 bits are sorted by radix
         first = np.concatenate([[0], np.flatnonzero(np.diff(ids[o])) + 1])
-        return [(ids[o[first]], np.add.reduceat(rows[o], first, axis=0)), (slice(None), dgates), (slice(None), down)]
+        rows = np.take(da.reshape(-1, k), (o // n * 3 * n + o % n)[:, None] + n * np.arange(3), axis=0).reshape(-1, 3 * k)
+        dgates = np.concatenate([*dgates], axis=1)
+        return [(ids[o[first]], _sums(rows, first)), (slice(None), dgates), (slice(None), down)]
 
     def step(self, grads: list, n: int) -> None:
         """One step of Adam down the gradients of n outcomes' mean; rows without a gradient stay."""
@@ -169,10 +205,22 @@ class Network:
         rate = np.float32(RATE * np.sqrt(1 - 0.995**self.t) / (1 - 0.9**self.t))
         scale = np.float32(1 / n)
         for w, (at, g), (m, v) in zip(self.weights, grads, self.moments, strict=True):
-            g = g * scale
-            m[at] = np.float32(0.9) * m[at] + np.float32(0.1) * g
-            v[at] = np.float32(0.995) * v[at] + np.float32(0.005) * g * g
-            w[at] -= rate * m[at] / (np.sqrt(v[at]) + np.float32(1e-7))
+            g *= scale
+            some = not isinstance(at, slice)
+            new_m, new_v = (m[at], v[at]) if some else (m, v)
+            new_m *= np.float32(0.9)
+            new_m += np.float32(0.1) * g
+            new_v *= np.float32(0.995)
+            g *= g
+            g *= np.float32(0.005)
+            new_v += g
+            if some:
+                m[at], v[at] = new_m, new_v
+            root = np.sqrt(new_v)
+            root += np.float32(1e-7)
+            np.divide(new_m, root, out=root)
+            root *= rate
+            w[at] -= root
 
 
 def _given(net: Network, target: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -46,8 +46,12 @@ class Analyzer:
 
 
 def counted(docs: DataFrame, analyzer: Analyzer, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., term, df, cf): rows to be summed, one (1, 0) for each distinct term of a document and one (0, 1) for each token. So the
-    document frequency needs no shuffle by document."""
+    """(keep..., term, df, cf): rows to be summed. Of one field without stems they are sums of slices; else one (1, 0) for each distinct term of
+    a document and one (0, 1) for each token. So the document frequency needs no shuffle by document."""
+    if len(fields) == 1 and not analyzer.stemmer:
+        from lexigrid.operators.terms import totals
+
+        return totals(docs, analyzer, fields[0], keep)
     all_ = analyzer.tokens(*[F.col(f) for f in fields])
     row = lambda df, cf: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
     both = F.flatten(F.transform(F.array(all_), lambda a: F.concat(F.transform(F.array_distinct(a), row(1, 0)), F.transform(a, row(0, 1)))))

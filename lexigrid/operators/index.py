@@ -36,8 +36,8 @@ def frequent(tokens: DataFrame, least: int) -> DataFrame:
     return tokens.join(keep, "term", "left_semi")
 
 
-def dump_lines(index: DataFrame) -> DataFrame:
-    """The text form of an index: a line `term:df` per term, then one `\\t<doc>: p1, p2` per document; ordered by (term, doc_id) with the head first (doc_id null)."""
-    heads = index.groupBy("term").agg(F.count("*").alias("df")).select("term", F.lit(None).cast("long").alias("doc_id"), F.concat_ws(":", "term", "df").alias("line"))
+def dump_lines(index: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """The text form of an index: a line `term:df` per term, then one `\\t<doc>: p1, p2` per document; ordered by (term, doc_id) with the head first (doc_id null). stats: (term, df) where they are known."""
+    heads = (index.groupBy("term").agg(F.count("*").alias("df")) if stats is None else stats).select("term", F.lit(None).cast("long").alias("doc_id"), F.concat_ws(":", "term", "df").alias("line"))
     rows = index.select("term", "doc_id", F.concat(F.lit("\t"), F.col("doc_id").cast("string"), F.lit(": "), F.array_join(F.transform("positions", lambda p: p.cast("string")), ", ")).alias("line"))
     return heads.unionByName(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,15 @@ def postings(tokens: DataFrame) -> DataFrame:
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """Partial postings of any documents as one index; a (term, doc_id) in several parts unites its positions."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    joined = every.groupBy("term", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-    return joined.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
+    """Partial postings (of each term and document one row) of any documents as one index; a (term, doc_id) in several parts unites its
+    positions. Only documents that several parts have are shuffled."""
+    every, held = (reduce(DataFrame.unionByName, x) for x in ([p.select("term", "doc_id", "tf", "positions") for p in parts], [p.select("doc_id").distinct() for p in parts]))
+    shared = held.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    if shared.isEmpty():
+        return every
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    joined = every.join(shared, same, "left_semi").groupBy("term", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    return every.join(shared, same, "left_anti").unionByName(joined.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions"))
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.operators import evaluate, index, ranked, transfer
+from lexigrid.operators import evaluate, ranked, terms, transfer
 from lexigrid.plans.table_queries import EVAL, runs
-from lexigrid.plans.text_queries import TOK, tokens
+from lexigrid.plans.text_queries import PLAIN, TOK, docs, term_dfs, tokens
 from lexigrid.sources import readers, sinks
 from lexigrid.sources.readers import table
 from lexigrid.storage import place
@@ -186,7 +186,7 @@ def io_classification_csv(spark, sf):
 @query("io_index_dump", f"WITH {TOK}, p AS (SELECT term, doc_id, string_agg(pos, ', ' ORDER BY pos) AS s FROM tok GROUP BY term, doc_id) SELECT term || ':' || count(*) AS line FROM p GROUP BY term UNION ALL SELECT chr(9) || doc_id || ': ' || s FROM p")
 def io_index_dump(spark, sf):
     at = place(spark, "io-index")
-    sinks.index_dump(index.postings(tokens(spark, sf)), at)
+    sinks.index_dump(terms.postings(docs(spark, sf), PLAIN, "text"), at, term_dfs(spark, sf))
     return spark.read.text(at).withColumnRenamed("value", "line")
 
 

@@ -9,9 +9,10 @@ from lexigrid.operators.evaluate import rounded, with_means
 from lexigrid.operators.index import dump_lines
 
 
-def index_dump(index: DataFrame, path: str) -> None:
-    """The index as text, ordered by term and document; files in the order of their names."""
-    lines = dump_lines(index).repartitionByRange("term").sortWithinPartitions("term", F.col("doc_id").asc_nulls_first())
+def index_dump(index: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """The index as text, ordered by term and document; files in the order of their names. A term of many documents may fill several files."""
+    order = [F.col("term"), F.col("doc_id").asc_nulls_first()]
+    lines = dump_lines(index, stats).repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("line").write.mode("overwrite").text(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,10 @@ class Analyzer:
 
     def explode(self, docs: DataFrame, *fields: str, keep: tuple[str, ...] = ("doc_id",), only: list[str] | None = None) -> DataFrame:
         """(keep..., pos, term), one row a token. only: the terms that matter; all else is dropped before rows are made."""
+        if only is not None and len(fields) == 1:
+            from lexigrid.operators.terms import occurrences
+
+            return occurrences(docs, replace(self, stemmer=None), fields[0], keep, stem_forms(docs, self, fields[0], only) if self.stemmer else {w: w for w in only})
         listed = F.transform(self.tokens(*[F.col(f) for f in fields]), lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
         if only is not None and not self.stemmer:
             listed = F.filter(listed, lambda x: x["term"].isin(only))
@@ -70,6 +74,18 @@ def porter_udf(terms: pd.Series) -> pd.Series:
     return terms.map(porter)
 
 
+def stem_forms(docs: DataFrame, analyzer: Analyzer, field: str, stems: list[str]) -> dict[str, str]:
+    """The words of the distinct vocabulary with one of these stems, and their stems. A word starts with its stem but for the last two letters:
+    no rule puts more in a suffix's place than it shares with it and "e", "i" or "le"."""
+    from lexigrid.operators import terms
+
+    near = F.lit(False)
+    for s in stems:
+        near = near | F.col("term").startswith(s[:-2])
+    words = terms.words(docs, replace(analyzer, stemmer=None), field).where(near).select("term").distinct()
+    return {r.term: r.stem for r in words.withColumn("stem", porter_udf("term")).where(F.col("stem").isin(stems)).collect()}
+
+
 def stemmed(tokens: DataFrame) -> DataFrame:
     """tokens with stems for terms. Only the distinct vocabulary goes through Python."""
     vocabulary = tokens.select("term").distinct().withColumn("stem", porter_udf("term"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.maths import tfidf
 from lexigrid.functions.text import Analyzer
+from lexigrid.storage import written
 
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str = "doc_id") -> DataFrame:
@@ -19,7 +20,7 @@ def ranked(tokens: DataFrame, queries: list[tuple[int, list[str]]], n_docs: Data
     """(qid, rank, doc_id, score), score rounded to 4 places before ties break. A repeated query term counts as often. n_docs: one row (n)."""
     spark = tokens.sparkSession
     asked = spark.createDataFrame([(q, t) for q, terms in queries for t in terms], "qid int, term string")
-    tf = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    tf = written(tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "ranked")  # the texts are read once
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n_docs)).select("term", "doc_id", tfidf(F.col("tf"), F.col("df"), F.col("n"), log_tf).alias("w"))
     scores = weights.join(F.broadcast(asked), "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 4).alias("score"))

@@ -102,6 +102,25 @@ def _kept(batch: pa.RecordBatch, keep: tuple[str, ...], at: np.ndarray) -> list[
     return [batch.column(c).take(at) for c in keep]
 
 
+def occurrences(docs: DataFrame, analyzer: Analyzer, field: str, keep: tuple[str, ...], named: dict[str, str]) -> DataFrame:
+    """(keep..., pos, term): a row for each token that `named` has, under its name there."""
+    words, names = pa.array(list(named), pa.string()), pa.array(list(named.values()), pa.string())
+
+    def f(c: Cut) -> pa.RecordBatch:
+        place = np.asarray(pc.fill_null(pc.index_in(c.terms, value_set=words), -1), np.int64)[c.codes]
+        at = np.flatnonzero(place >= 0)
+        row = np.repeat(np.arange(len(c.n)), c.n)[at]
+        pos = at - (np.cumsum(c.n) - c.n)[row]
+        return pa.RecordBatch.from_arrays([*_kept(c.batch, keep, row), pa.array(pos.astype(np.int32)), names.take(pa.array(place[at]))], [*keep, "pos", "term"])
+
+    return rows(docs, analyzer, field, keep, f, T.StructType([*_types(docs, keep), T.StructField("pos", T.IntegerType()), T.StructField("term", T.StringType())]))
+
+
+def words(docs: DataFrame, analyzer: Analyzer, field: str) -> DataFrame:
+    """(term): the distinct terms of slices."""
+    return rows(docs, analyzer, field, (), lambda c: pa.RecordBatch.from_arrays([c.terms], ["term"]), "term string")
+
+
 def repeated(docs: DataFrame) -> DataFrame | None:
     """The ids (doc_id) of several rows; None where each row has its own."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.functions.maths import cosine, idf
+from lexigrid.functions.maths import idf
+from lexigrid.storage import written
 
 
 def hashed(seed: str, *cols: str):
@@ -100,15 +101,25 @@ def followers(vectors: DataFrame, lead: DataFrame, k: int = 3) -> DataFrame:
     return nearest(lead, rest, k).select(F.col("qid").alias("follower_id"), F.col("vec_id").alias("leader_id"), "sim")
 
 
-def pruned_search(vectors: DataFrame, lead: DataFrame, clusters: DataFrame, queries: DataFrame, k: int, probes: int = 3) -> DataFrame:
-    """search() over the followers of the `probes` leaders nearest to a query, and all these leaders."""
-    near = search(lead, queries, probes).select("qid", F.col("vec_id").alias("leader_id"))
-    own = near.select("qid", F.col("leader_id").alias("vec_id"))
-    inside = clusters.join(near, "leader_id").select("qid", F.col("follower_id").alias("vec_id"))
-    some = inside.unionByName(own).distinct().join(vectors, "vec_id").join(queries, "qid").where("vec_id <> qid")
-    sims = some.select("qid", "vec_id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("sim"))
+def pruned_search(vectors: DataFrame, lead: DataFrame, clusters: DataFrame, queries: DataFrame, k: int, probes: int = 3, query_block: int = 4096, shard: int = 16384) -> DataFrame:
+    """search() over the followers of the `probes` leaders nearest to a query, and all these leaders.
+
+    A vector goes to its leaders and a query to its probes, once each; candidates are no rows, a tile keeps each query's best.
+    """
+    near = search(lead, queries, probes).select("qid", F.col("vec_id").alias("leader_id")).join(queries, "qid")
+    own = lead.select(F.col("vec_id").alias("leader_id"), "vec_id", "vec")
+    members = own.unionByName(clusters.select("leader_id", F.col("follower_id").alias("vec_id")).join(vectors, "vec_id").select("leader_id", "vec_id", "vec"))
+    members, near = written(members, "members"), written(near, "near")
+    # a leader's queries and members meet in tiles: a leader of many is cut
+    sizes = members.groupBy("leader_id").agg(F.ceil(F.count("*") / shard).alias("shards")).join(near.groupBy("leader_id").agg(F.ceil(F.count("*") / query_block).alias("blocks")), "leader_id")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    q = near.join(sizes, "leader_id").select("leader_id", F.col("qid").alias("id"), F.col("qvec").alias("vec"), deal("qid", F.col("blocks")).alias("block"), every("shards").alias("shard"), F.lit(0).alias("side"))
+    v = members.join(sizes, "leader_id").select("leader_id", F.col("vec_id").alias("id"), "vec", every("blocks").alias("block"), deal("vec_id", F.col("shards")).alias("shard"), F.lit(1).alias("side"))
+    best = q.unionByName(v).groupBy("leader_id", "block", "shard").applyInArrow(_tiles(k), "qid long, vec_id long, sim double")
+    best = best.withColumn("sim", F.round("sim", 6)).dropDuplicates(["qid", "vec_id"])
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "sim")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "sim")
 
 
 def mean_cluster_size(clusters: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.functions.maths import idf
+from lexigrid.functions.text import Analyzer
+from lexigrid.operators import terms
 from lexigrid.storage import written
 
 
@@ -16,16 +19,33 @@ def hashed(seed: str, *cols: str):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), *[F.col(c).cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
 
 
-def doc_vectors(tokens: DataFrame, words: DataFrame, n_docs: DataFrame, dim: int, kind: str = "log") -> DataFrame:
-    """(doc_id, vec): the idf-weighted mean of the word vectors (term, vec) of a document's tokens; unknown words don't count.
+def doc_vectors(docs: DataFrame, analyzer: Analyzer, field: str, words: DataFrame, stats: DataFrame, n_docs: DataFrame, dim: int, kind: str = "log") -> DataFrame:
+    """(doc_id, vec): the idf-weighted mean of the word vectors (term, vec) of a document's tokens; unknown words don't count. docs (doc_id,
+    field), a row each (see terms.single()); stats: (term, df).
 
-    The planner broadcasts the word vectors where they are few; otherwise they are joined.
+    Frequent words are looked up and summed within a document's row; only rarer ones are joined.
     """
-    df = tokens.join(words.select("term"), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    stats = df.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("term", idf(F.col("df"), F.col("n"), kind).alias("w"))
-    rows = df.join(words.join(stats, "term"), "term")
-    sums = rows.groupBy("doc_id").agg(F.sum("tf").alias("len"), *[F.sum(F.col("tf") * F.col("w") * F.col("vec")[i]).alias(f"v{i}") for i in range(dim)])
-    return sums.select("doc_id", F.array(*[F.col(f"v{i}") / F.col("len") for i in range(dim)]).alias("vec"))
+    weighed = words.join(stats, "term").crossJoin(F.broadcast(n_docs)).select("term", "df", idf(F.col("df"), F.col("n"), kind).alias("w"), "vec")
+    weighed = written(weighed.select("term", "df", F.transform("vec", lambda x: x * F.col("w")).alias("v")), "weighed")
+    listed = terms.top(weighed, "v")
+    table = np.asarray(listed["v"].combine_chunks().flatten(), np.float64).reshape(-1, dim)
+    names = ["len", *[f"v{i}" for i in range(dim)]]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("len", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
+
+    def f(c):
+        c.groups()
+        place = terms.looked_up(c, listed)
+        at = np.flatnonzero(place >= 0)
+        row, tf, n = c.row[at], c.tf[at], len(c.n)
+        length = np.bincount(row, tf, n).astype(np.int64)
+        some = np.flatnonzero(length)
+        sums = [np.bincount(row, tf * table[place[at], i], n)[some] for i in range(dim)]
+        return pa.RecordBatch.from_arrays([c.batch.column("doc_id").take(pa.array(some)), *map(pa.array, [length[some], *sums])], ["doc_id", *names])
+
+    frequent = terms.rows(docs, analyzer, field, ("doc_id",), f, schema)
+    rest = terms.rare(docs, analyzer, field, listed).join(weighed, "term").select("doc_id", F.col("tf").alias("len"), *[(F.col("tf") * F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
+    sums = frequent.unionByName(rest).groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in names])
+    return sums.select("doc_id", F.array(*[F.col(n) / F.col("len") for n in names[1:]]).alias("vec"))
 
 
 def query_vectors(queries: DataFrame, words: DataFrame, df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.functions.text import first_digit
+from lexigrid.functions.text import Analyzer, first_digit
+from lexigrid.operators import terms
 
 
 def word_count(tokens: DataFrame) -> DataFrame:
@@ -30,9 +31,20 @@ def heaps(tokens: DataFrame, step: int) -> DataFrame:
     Nothing runs over all tokens in one task: documents are summed first, prefix sums go over blocks of documents and then
     within them, and only sampled tokens meet the first occurrences of their own document.
     """
-    first = tokens.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"))
+    first = tokens.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
+    return _heaps(first, tokens.groupBy("doc_id").agg(F.count("*").alias("len")), step)
+
+
+def heaps_of(docs: DataFrame, analyzer: Analyzer, field: str, step: int) -> DataFrame:
+    """heaps() of docs (doc_id, field), without a row a token."""
+    first = terms.totals(docs, analyzer, field, first=True).groupBy("term").agg(F.min("f").alias("f"))
+    return _heaps(first, terms.lengths(docs, analyzer, field).groupBy("doc_id").agg(F.sum("len").alias("len")).where("len > 0"), step)
+
+
+def _heaps(first: DataFrame, sizes: DataFrame, step: int) -> DataFrame:
+    first = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"))
     new = first.groupBy("doc_id").agg(F.count("*").alias("new"), F.collect_list("pos").alias("at"))
-    docs = tokens.groupBy("doc_id").agg(F.count("*").alias("len")).join(new, "doc_id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    docs = sizes.join(new, "doc_id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
     docs = docs.withColumn("block", F.floor(F.col("doc_id") / 1000))
     blocks = docs.groupBy("block").agg(F.sum("len").alias("len"), F.sum("new").alias("new"))
     upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

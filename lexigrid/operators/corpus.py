@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.functions.maths import chi_square, mutual_information
+from lexigrid.functions.text import Analyzer
+from lexigrid.operators import terms
+from lexigrid.storage import written
 
 
 def corpus_sizes(docs: DataFrame) -> DataFrame:
@@ -19,8 +25,9 @@ def sizes_from_index(freq: DataFrame) -> DataFrame:
 
 
 def contingency(freq: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(term, corpus, n11, n10, n01, n00) over the full grid of terms and corpora; freq (term, corpus), a row for each document that has the term."""
-    df = freq.groupBy("term", "corpus").agg(F.count("*").alias("n"))
+    """(term, corpus, n11, n10, n01, n00) over the full grid of terms and corpora; freq (term, corpus), a row for each document that has the term,
+    or with df, to be summed."""
+    df = freq.groupBy("term", "corpus").agg((F.sum("df") if "df" in freq.columns else F.count("*")).cast("long").alias("n"))
     per_term = df.groupBy("term").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("corpus", "n"))).alias("by"))
     total = sizes.agg(F.sum("n_docs").alias("total"))
     cells = per_term.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(total)).withColumn("n11", F.coalesce(F.try_element_at("by", F.col("corpus")), F.lit(0)))
@@ -46,6 +53,44 @@ def critical_filter(tokens: DataFrame, rows: DataFrame, least: float = 2.71, use
     return tokens.join(good.select("term", "corpus"), ["term", "corpus"], "left_semi") if use_label else tokens.join(good.select("term").distinct(), "term", "left_semi")
 
 
+def critical_counts(docs: DataFrame, analyzer: Analyzer, field: str, least: float = 2.71, use_label: bool = False) -> DataFrame:
+    """(corpus, kept, docs): the tokens that critical_filter() keeps, and the documents that have any, of docs (doc_id, corpus, field).
+
+    Tokens are summed by term. A document with a frequent kept term is told by a list; only of others are the rarer terms joined.
+    """
+    docs = terms.single(docs, field, ("corpus",))
+    freq = written(terms.totals(docs, analyzer, field, ("corpus",)).groupBy("term", "corpus").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), "frequencies")
+    good = scored(contingency(freq, corpus_sizes(docs))).where(F.col("chisq") >= least)
+    good = good.select("term", "corpus") if use_label else good.select("term").distinct()
+    on = ["term", "corpus"] if use_label else ["term"]
+    cells = written(freq.join(good, on), "kept")
+    kept = cells.groupBy("corpus").agg(F.sum("cf").alias("kept"))
+    # frequent kept terms, each with the corpora that keep it
+    per = cells.groupBy("term").agg(F.sum("df").alias("df"), F.collect_set("corpus").alias("corpora"), F.max(F.col("corpus").isNull()).alias("none"))
+    listed = terms.top(per, "corpora", "none")
+    corpora = [(set(c), n) for c, n in zip(listed["corpora"].to_pylist(), listed["none"].to_pylist())]
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["corpus"], T.StructField("term", T.StringType())])
+
+    def f(c):
+        """A document with a listed term: one row without a term; else its terms."""
+        c.groups()
+        place, own = terms.looked_up(c, listed), c.batch.column("corpus").to_pylist()
+        has = np.zeros(len(c.n), bool)
+        for name in set(own):
+            mine = np.array([name in cs or (name is None and none) for cs, none in corpora] + [False])
+            rows = np.array([x == name for x in own])
+            has[c.row[mine[place] & rows[c.row]]] = True
+        at = np.flatnonzero(~has[c.row])
+        row = np.concatenate([np.flatnonzero(has), c.row[at]])
+        term = pa.concat_arrays([pa.nulls(int(has.sum()), pa.string()), c.terms.take(pa.array(c.code[at]))])
+        return pa.RecordBatch.from_arrays([*(c.batch.column(x).take(pa.array(row)) for x in ("doc_id", "corpus")), term], ["doc_id", "corpus", "term"])
+
+    found = written(terms.rows(docs, analyzer, field, ("doc_id", "corpus"), f, schema), "found")
+    some = found.where("term is null").unionByName(found.where("term is not null").join(good, on, "left_semi").select(found.columns))
+    n = some.select("corpus", "doc_id").distinct().groupBy("corpus").agg(F.count("*").alias("docs"))
+    return kept.join(n, kept["corpus"].eqNullSafe(n["corpus"])).select(kept["corpus"], "kept", "docs")
+
+
 def word_counts(tokens: DataFrame, words: list[str]) -> DataFrame:
     """(corpus, word columns): zeros appear."""
     return tokens.groupBy("corpus").agg(*[F.sum((F.col("term") == w).cast("long")).alias(f"n_{w}") for w in words])

@@ -97,12 +97,16 @@ def word_counts(tokens: DataFrame, words: list[str]) -> DataFrame:
 
 
 def topics(docs: DataFrame, tokens: str, k: int = 20, iterations: int = 25, no_below: int = 15, no_above: float = 0.6, seed: int = 0):
-    """(model, vocabulary, docs with topicDistribution) of online LDA over an array<string> column."""
+    """(model, vocabulary, docs with topicDistribution) of online LDA over an array<string> column.
+
+    Documents are counted once, into a table of vectors; no tokens are cached. An iteration sums a dense matrix (k by vocabulary) per partition, so there are
+    only as many partitions as keep the cores busy; a task reads the table's share and the square root of so many matrices.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
 
-    cv = CountVectorizer(inputCol=tokens, outputCol="__bow", minDF=no_below, maxDF=no_above).fit(docs)
-    bow = cv.transform(docs)
+    cv = terms.vectorizer(docs, tokens, "__bow", 1 << 18, no_below, no_above)
+    bow = written(cv.transform(docs).drop(tokens), "bags")
+    bow = bow.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
     model = LDA(k=k, maxIter=iterations, optimizer="online", seed=seed, featuresCol="__bow").fit(bow)
     return model, cv.vocabulary, model.transform(bow)
 

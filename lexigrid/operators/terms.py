@@ -79,12 +79,12 @@ def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[Cut]:
             i = j
 
 
-def rows(docs: DataFrame, analyzer: Analyzer, field: str, keep: tuple[str, ...], f, schema: T.StructType | str) -> DataFrame:
-    """f(Cut) -> a record batch, over all rows of docs with the columns `keep`."""
-    if analyzer.stemmer:
+def rows(docs: DataFrame, analyzer: Analyzer | None, field: str, keep: tuple[str, ...], f, schema: T.StructType | str) -> DataFrame:
+    """f(Cut) -> a record batch, over all rows of docs with the columns `keep`. Without an analyzer, field is an array of tokens."""
+    if analyzer and analyzer.stemmer:
         raise ValueError("terms are cut without stems")
-    plain = analyzer.pattern == ALPHA and analyzer.lower and not analyzer.stop
-    text: Column = F.col(field).cast("string") if plain else analyzer.tokens(F.col(field))
+    plain = analyzer and analyzer.pattern == ALPHA and analyzer.lower and not analyzer.stop
+    text: Column = F.col(field).cast("string") if plain else analyzer.tokens(F.col(field)) if analyzer else F.coalesce(field, F.array().cast("array<string>"))
 
     def run(batches):
         for cut in cuts(batches):
@@ -164,9 +164,9 @@ def postings(docs: DataFrame, analyzer: Analyzer, field: str, positions: bool =
     return cut(own).unionByName(merged)
 
 
-def totals(docs: DataFrame, analyzer: Analyzer, field: str, by: tuple[str, ...] = (), first: bool = False) -> DataFrame:
+def totals(docs: DataFrame, analyzer: Analyzer | None, field: str, by: tuple[str, ...] = (), first: bool = False) -> DataFrame:
     """(by..., term, df, cf), with first also f, the smallest (doc_id, pos): sums of slices, to be summed. df counts rows: see single()."""
-    keep = (*by, "doc_id") if first else by or ("doc_id",)
+    keep = (*by, "doc_id") if first else by
     fields = [*_types(docs, by), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("cf", T.LongType())]
     fields += [T.StructField("f", T.StructType([*_types(docs, ("doc_id",)), T.StructField("pos", T.IntegerType())]))] if first else []
     names = [x.name for x in fields]
@@ -199,6 +199,17 @@ def totals(docs: DataFrame, analyzer: Analyzer, field: str, by: tuple[str, ...]
     return rows(docs, analyzer, field, keep, f, T.StructType(fields))
 
 
+def vectorizer(docs: DataFrame, tokens: str, output: str, size: int, least: int = 1, share: float = 1.0):
+    """The model of a CountVectorizer over an array<string> column: of the terms that at least `least` documents and at most that share of them
+    have, the `size` most frequent ones. Its own fit caches all tokens, and a task reads its whole part of them."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    sums = totals(docs, None, tokens).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where(F.col("df") >= least)
+    sums = sums.where(F.col("df") <= share * docs.count()) if share < 1 else sums
+    listed = sums.orderBy(F.desc("cf"), "term").limit(size).select("term").toArrow()["term"].to_pylist()
+    return CountVectorizerModel.from_vocabulary(listed, inputCol=tokens, outputCol=output)
+
+
 def lengths(docs: DataFrame, analyzer: Analyzer, field: str) -> DataFrame:
     """(doc_id, len): each row's number of tokens."""
     f = lambda c: pa.RecordBatch.from_arrays([*_kept(c.batch, ("doc_id",), np.arange(len(c.n))), pa.array(c.n.astype(np.int64))], ["doc_id", "len"])

@@ -167,10 +167,10 @@ def renumber_ids(spark, sf):
 def svm_predict(spark, sf):
     from lexigrid.functions.text import Analyzer
 
-    rows = docs(spark, sf).select(F.col("doc_id").alias("row_id"), "lang", Analyzer().tokens(F.col("text")).alias("tokens"))
-    parts = learn.split(rows, 0.2)
-    model = learn.linear_svm(parts.where("split = 'train'"), "tokens", "lang")
-    return evaluate.confusion(learn.predicted(model, parts.where("split = 'dev'")).withColumnRenamed("lang", "label"))
+    parts = learn.split(docs(spark, sf).select(F.col("doc_id").alias("row_id"), "lang", "text"), 0.2)
+    train, dev = (parts.where(F.col("split") == s).select("row_id", "lang", Analyzer().tokens(F.col("text")).alias("tokens")) for s in ("train", "dev"))
+    model = learn.linear_svm(train, "tokens", "lang")
+    return evaluate.confusion(learn.predicted(model, dev).withColumnRenamed("lang", "label"))
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------
